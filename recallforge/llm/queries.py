@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, pii, simhash
 from ._common import table
 
 
@@ -18,7 +18,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op7_exact_dedup": op7_exact_dedup}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    counts = [pii.number(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    top = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("top_score")
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), top)
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op10_pii": op10_pii,
+}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
