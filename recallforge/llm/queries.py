@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, pii, simhash
+from . import exact_dedup, mixing, pii, simhash
 from ._common import table
 
 
@@ -13,6 +13,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.assign(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -28,11 +33,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
+    "op5_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+             s AS (SELECT source, sum(size)::DOUBLE AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+             o AS (SELECT *, coalesce(sum(2 * n) OVER before, 0) AS full_before, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS w_left, 1.5 * sum(n) OVER () AS goal
+                   FROM s WINDOW before AS (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+             l AS (SELECT first((goal - full_before) / w_left ORDER BY n / w, source) FILTER ((goal - full_before) / w_left * w <= 2 * n) AS level FROM o),
+             t AS (SELECT source, n::BIGINT AS source_size, round(least(w * level, 2 * n), 4) AS target FROM s, l),
+             r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('5:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+        FROM r
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                           sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256
