@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, pii, simhash
+from . import bpe, exact_dedup, media, mixing, pii, sharding, simhash
 from ._common import table
 
 
+#: Byte limit of a shard in op6_sharding.
+SHARD_BYTES = 1 << 20
+
+
+def tokenizer_path() -> str:
+    """The byte-level vocabulary of the public tokenizers package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -18,11 +29,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store(table(spark, sf_dir, "documents")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 4)
@@ -34,11 +57,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
+    "op9_media": op9_media,
     "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
+    "op6_sharding": r"""
+        WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 9))::BIGINT AS h FROM documents),
+             l AS (SELECT depth, h >> (36 - depth) AS code, count(*) AS docs, sum(bytes)::BIGINT AS size
+                   FROM d, (SELECT unnest(generate_series(0, 24)) AS depth) GROUP BY ALL),
+             leaf AS (SELECT l.* FROM l LEFT JOIN l AS up ON up.depth = l.depth - 1 AND up.code = l.code >> 1
+                      WHERE l.size <= 1048576 AND (l.depth = 0 OR up.size > 1048576))
+        SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(code), depth::INT, '0') END AS shard, depth::INT AS depth, bytes, docs AS shard_docs, size AS shard_bytes
+        FROM d JOIN leaf ON d.h >> (36 - leaf.depth) = leaf.code
+    """,
     "op5_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
              s AS (SELECT source, sum(size)::DOUBLE AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
