@@ -21,9 +21,10 @@ import hashlib
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._common import prepare
 
@@ -73,7 +74,7 @@ class ByteBPE:
         self.longest = max(map(len, self.id_of))
         self.ends: dict[bytes, bool] = {}
         self.apart: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.words: dict[str, tuple[int, str, bytes, bytes]] = {}
         self._tails()
 
     def _tails(self) -> None:
@@ -169,7 +170,11 @@ class ByteBPE:
             stack.append((iter(node[0].items()),))
         for w, node in todo.items():
             ids = last_at[id(node)]
-            self.words[w] = (len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
+            self.words[w] = self._entry(ids)
+
+    def _entry(self, ids: list[int]) -> tuple[int, str, bytes, bytes]:
+        """A word's number of tokens, ids as text, decoded bytes and ids as 32-bit numbers."""
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), np.array(ids, "<i4").tobytes()
 
     def _last_token(self, way: list[int], last: list[int]) -> int:
         """The last token of the encoding of way; last has those of all shorter prefixes."""
@@ -184,8 +189,8 @@ class ByteBPE:
             node, i = found[0], i - 1
         raise AssertionError(f"no last token for {bytes(way[:n])!r}")
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str, bytes]]:
-        """(number of tokens, ids joined by commas, decoded bytes) of each text."""
+    def entries(self, texts: list[str | None]):
+        """The cache entries of each text's words, in order."""
         cut = []
         for t in texts:
             pieces = self.special.split(t or "") if self.special else [t or ""]
@@ -196,18 +201,19 @@ class ByteBPE:
         if len(self.words) > CACHED:
             self.words.clear()
         for s, i in self.added.items():
-            self.words[s] = (1, str(i), self.bytes_of[i])
+            self.words[s] = self._entry([i])
         new = {w for words in cut for w in words if w not in self.words}
         self.encode_words(sorted(new))
-        out = []
-        for words in cut:
-            got = list(map(self.words.__getitem__, words))
-            out.append((sum(g[0] for g in got), ",".join([g[1] for g in got]), b"".join([g[2] for g in got])))
+        out = [list(map(self.words.__getitem__, words)) for words in cut]
         for w in new:
             if len(w) > KEPT_BYTES:
                 del self.words[w]
         return out
 
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str, bytes]]:
+        """(number of tokens, ids joined by commas, decoded bytes) of each text."""
+        return [(sum(g[0] for g in got), ",".join([g[1] for g in got]), b"".join([g[2] for g in got])) for got in self.entries(texts)]
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBPE:
@@ -246,18 +252,21 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return own.mapInArrow(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids, array<int>, of each row."""
+def encode(docs: DataFrame, path: str, *kept: str) -> DataFrame:
+    """doc_id, the columns named in `kept`, n_tokens and ids, array<int>, of each row."""
     prepare(docs.sparkSession)
+    names = ["doc_id", *kept]
+    shape = docs.select(names).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
 
     def batches(it):
         bpe = load(path)
         for b in it:
-            ids = [[int(x) for x in e[1].split(",") if x] for run in _chunks(b.column(1).to_pylist()) for e in bpe.encode_batch(run)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            packed = [b"".join([g[3] for g in got]) for run in _chunks(b.column(len(names)).to_pylist()) for got in bpe.entries(run)]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(np.diff(ends), pa.int64()), ids], [*names, "n_tokens", "ids"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(batches, "doc_id long, ids array<int>")
+    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(batches, shape)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._common import prepare
 
@@ -223,7 +223,8 @@ def sniff(stored: DataFrame, name: str = "media", declared: str = "declared") ->
     array<struct<type, start, end>> of all confirmed objects. Columns of these names are replaced."""
     prepare(stored.sparkSession)
     kept = [c for c in stored.columns if c not in ("type", "corrected", "parts")]
-    shape = stored.select(kept).schema.add("type", "string").add("corrected", "boolean").add("parts", "array<struct<type:string,start:bigint,end:bigint>>")
+    more = T.StructType.fromDDL("type string, corrected boolean, parts array<struct<type:string,start:bigint,end:bigint>>")
+    shape = T.StructType([*stored.select(kept).schema.fields, *more.fields])
     spec = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def batches(it):

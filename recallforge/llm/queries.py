@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, licenses, media, mixing, pii, sharding, simhash, warc
+from . import bpe, exact_dedup, licenses, media, mixing, pii, sharding, simhash, toxicity, warc
 from ._common import table
 
 
@@ -32,6 +32,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
+    """Learnt from the labelled rows that aren't held out."""
+    return toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "near", "telling")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.assign(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -66,6 +79,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
