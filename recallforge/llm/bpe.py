@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ._common import prepare
 
 #: Words that a worker keeps, and the longest word (bytes) that is kept.
-CACHED, KEPT_BYTES = 400_000, 64
+CACHED, KEPT_BYTES = 500_000, 64
 #: The pre-tokenizer's pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -71,10 +71,11 @@ class ByteBPE:
                 self.parts[c] = (a, b)
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.longest = max(map(len, self.id_of))
-        self.ends: dict[bytes, bool] = {}
+        self.width = {i: len(b) for i, b in self.bytes_of.items()}
+        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.packed_of = {i: np.array([i], "<i4").tobytes() for i in self.bytes_of}
         self.apart: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, str, bytes, bytes]] = {}
+        self.words: dict[str, tuple[str, bytes, bytes]] = {}
         self._tails()
 
     def _tails(self) -> None:
@@ -135,75 +136,71 @@ class ByteBPE:
                     return False
 
     def encode_words(self, words: list[str]) -> None:
-        """Put the encodings of the distinct words into the cache."""
-        root: list = [{}, -1, b""]  # children, last token, bytes so far; -1 at the root
-        todo = {}
-        for w in words:
-            node = root
-            for c in w.encode("utf-8", "surrogatepass"):
-                down = node[0].get(c)
-                if down is None:
-                    down = node[0][c] = [{}, -2]
-                node = down
-            todo[w] = node
-        stack = [(iter(root[0].items()),)]
-        way: list[int] = []  # bytes from the root
+        """Put the encodings of the distinct words into the cache.
+
+        Sorted words are the trie's depth-first order: what a word shares with the one before it is
+        the way to their common node, whose states stay, and the rest of the word is new nodes.
+        """
+        tail, apart, width = self.tail, self.apart, self.width
+        way = b""
         last: list[int] = []  # last token at each depth of the way
-        last_at: dict[int, list[int]] = {id(n): [] for n in todo.values()}
-        while stack:
-            step = next(stack[-1][0], None)
-            if step is None:
-                stack.pop()
-                if way:
-                    way.pop()
-                    last.pop()
-                continue
-            c, node = step
-            way.append(c)
-            last.append(self._last_token(way, last))
-            if id(node) in last_at:
-                ids, i = last_at[id(node)], len(way)
-                while i:
-                    ids.append(last[i - 1])
-                    i -= len(self.bytes_of[last[i - 1]])
-                ids.reverse()
-            stack.append((iter(node[0].items()),))
-        for w, node in todo.items():
-            ids = last_at[id(node)]
+        for raw, w in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            shared = 0
+            for x, y in zip(way, raw):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared:]
+            for end in range(shared, len(raw)):
+                node, i = tail, end
+                while True:  # tokens that end here, the shortest first
+                    found = node.get(raw[i])
+                    if found is None:
+                        raise AssertionError(f"no last token for {raw[: end + 1]!r}")
+                    node, token = found
+                    if token >= 0:
+                        if not i:
+                            break
+                        pair = last[i - 1], token
+                        ok = apart.get(pair)
+                        if ok or ok is None and self.stands(*pair):
+                            break
+                    i -= 1
+                    if i < 0:
+                        raise AssertionError(f"no last token for {raw[: end + 1]!r}")
+                last.append(token)
+            way, i, ids = raw, len(raw), []
+            while i:
+                token = last[i - 1]
+                ids.append(token)
+                i -= width[token]
+            ids.reverse()
             self.words[w] = self._entry(ids)
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, bytes, bytes]:
-        """A word's number of tokens, ids as text, decoded bytes and ids as 32-bit numbers."""
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), np.array(ids, "<i4").tobytes()
-
-    def _last_token(self, way: list[int], last: list[int]) -> int:
-        """The last token of the encoding of way; last has those of all shorter prefixes."""
-        node, i, n = self.tail, len(way) - 1, len(way)
-        while i >= 0:
-            found = node.get(way[i])
-            if found is None:
-                break
-            token = found[1]
-            if token >= 0 and (i == 0 or self.stands(last[i - 1], token)):
-                return token
-            node, i = found[0], i - 1
-        raise AssertionError(f"no last token for {bytes(way[:n])!r}")
+    def _entry(self, ids: list[int]) -> tuple[str, bytes, bytes]:
+        """A word's ids as text, decoded bytes and ids as 32-bit numbers."""
+        return ",".join(map(self.text_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), b"".join(map(self.packed_of.__getitem__, ids))
 
     def entries(self, texts: list[str | None]):
         """The cache entries of each text's words, in order."""
         cut = []
         for t in texts:
-            pieces = self.special.split(t or "") if self.special else [t or ""]
-            words: list[str] = []
-            for p in pieces:
-                words.extend([p] if p in self.added else self.pattern.findall(p))
-            cut.append(words)
+            if self.added and any(s in (t or "") for s in self.added):
+                words: list[str] = []
+                for p in self.special.split(t):
+                    words.extend([p] if p in self.added else self.pattern.findall(p))
+                cut.append(words)
+            else:
+                cut.append(self.pattern.findall(t or ""))
         if len(self.words) > CACHED:
             self.words.clear()
         for s, i in self.added.items():
             self.words[s] = self._entry([i])
-        new = {w for words in cut for w in words if w not in self.words}
-        self.encode_words(sorted(new))
+        distinct: set[str] = set()
+        for words in cut:
+            distinct.update(words)
+        new = distinct - self.words.keys()
+        self.encode_words(list(new))
         out = [list(map(self.words.__getitem__, words)) for words in cut]
         for w in new:
             if len(w) > KEPT_BYTES:
@@ -212,7 +209,11 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[int, str, bytes]]:
         """(number of tokens, ids joined by commas, decoded bytes) of each text."""
-        return [(sum(g[0] for g in got), ",".join([g[1] for g in got]), b"".join([g[2] for g in got])) for got in self.entries(texts)]
+        out = []
+        for got in self.entries(texts):
+            joined = ",".join([g[0] for g in got])
+            out.append((joined.count(",") + bool(joined), joined, b"".join([g[1] for g in got])))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -261,7 +262,7 @@ def encode(docs: DataFrame, path: str, *kept: str) -> DataFrame:
     def batches(it):
         bpe = load(path)
         for b in it:
-            packed = [b"".join([g[3] for g in got]) for run in _chunks(b.column(len(names)).to_pylist()) for got in bpe.entries(run)]
+            packed = [b"".join([g[2] for g in got]) for run in _chunks(b.column(len(names)).to_pylist()) for got in bpe.entries(run)]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(np.diff(ends), pa.int64()), ids], [*names, "n_tokens", "ids"])
