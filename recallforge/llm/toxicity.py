@@ -27,19 +27,22 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import prepare
+from ._common import materialise, prepare
 
 #: Labelled examples of each class at most; terms kept at most, and how often a term must occur.
 EXAMPLES, TERMS, LEAST_DF = 4000, 2000, 3
-#: Log-likelihood ratio (chi-squared, one degree of freedom) from which a term counts as telling.
-TELLING = 12.0
+#: A term counts as telling if it is LIFT times more frequent in toxic examples and its log-likelihood
+#: ratio is so large that BY_CHANCE of all candidate terms would have it without any meaning.
+LIFT, BY_CHANCE = 4.0, 1.0
 REPEATS = 4
-NEIGHBOURS, BLOCK, EPS, PRIOR = 25, 64, 0.05, 0.5
+NEIGHBOURS, BLOCK, EPS, PRIOR = 25, 256, 0.05, 0.5
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"\w+")
@@ -50,11 +53,11 @@ def stems(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in range(4, 8) if len(word) > n]]
 
 
-def term_counts(text: str | None, known: dict[str, list[int]] | None = None) -> Counter:
-    """Occurrences of each stem; with `known` (a cache of words) of the numbered stems only."""
-    words, out = Counter(_WORD.findall((text or "").lower())), Counter()
-    for w, n in words.items():
-        for s in stems(w) if known is None else known.get(w, ()):
+def term_counts(text: str | None) -> Counter:
+    """Occurrences of each stem of a text."""
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        for s in stems(w):
             out[s] += n
     return out
 
@@ -75,49 +78,48 @@ def _log_ratio(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray
     return np.where(a / na > b / nb, g, -g)
 
 
+def telling(candidates: int) -> float:
+    """Least log-likelihood ratio (chi-squared, one degree of freedom) of a telling term."""
+    return NormalDist().inv_cdf(1 - min(0.5, BY_CHANCE / max(1, candidates)) / 2) ** 2
+
+
 @dataclass
 class Index:
-    """Unit vectors of the examples as postings with the largest weight per block."""
+    """Unit vectors of the examples as postings, cut into blocks with the largest weight of each."""
 
     ids: np.ndarray
     labels: np.ndarray
     postings: dict[int, tuple[np.ndarray, np.ndarray]]
-    bounds: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    blocks: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    bounds: dict[int, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self):
+        self.n_blocks = len(self.labels) // BLOCK + 1
         for t, (rows, weights) in self.postings.items():
-            blocks, first = np.unique(rows // BLOCK, return_index=True)
-            self.bounds[t] = blocks, np.maximum.reduceat(weights, first)
+            cuts = np.searchsorted(rows, np.arange(self.n_blocks + 1) * BLOCK)
+            own = {i: (rows[a:b] - i * BLOCK, weights[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b}
+            self.blocks[t], self.bounds[t] = own, np.zeros(self.n_blocks)
+            for i, (_, w) in own.items():
+                self.bounds[t][i] = w.max()
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with cosine over 0, by cosine, then place; exact."""
-        n = len(self.labels)
-        have = [(self.postings[t], self.bounds[t], w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.postings]
-        if not have:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(n // BLOCK + 1)
-        for _, (blocks, top), w in have:
-            bound[blocks] += w * top
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        have = [(self.blocks[t], w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.blocks]
         best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        at = 0
-        while at < len(order):
-            if len(best) >= k and bound[order[at]] < best[k - 1] - 1e-12:
+        if not have:
+            return best_rows, best
+        bound = sum(w * self.bounds[t] for t, w in zip(terms.tolist(), weights.tolist()) if t in self.bounds)
+        for block in np.argsort(-bound, kind="stable").tolist():
+            if bound[block] <= 0 or len(best) >= k and bound[block] < best[k - 1] - 1e-9:
                 break
-            some = np.sort(order[at : at + 8])
-            at += 8
-            score = np.zeros((len(some), BLOCK))
-            for (rows, values), _, w in have:
-                cuts = np.searchsorted(rows, np.stack([some * BLOCK, (some + 1) * BLOCK]))
-                for i in range(len(some)):
-                    lo, hi = cuts[0, i], cuts[1, i]
-                    score[i, rows[lo:hi] - some[i] * BLOCK] += w * values[lo:hi]
-            i, j = np.nonzero(score)
-            rows = some[i] * BLOCK + j
-            cos = score[i, j]
-            ok = rows != but
-            best_rows, best = np.concatenate([best_rows, rows[ok]]), np.concatenate([best, cos[ok]])
+            score = np.zeros(BLOCK)
+            for own, w in have:
+                if (part := own.get(block)) is not None:
+                    score[part[0]] += w * part[1]
+            if 0 <= but - block * BLOCK < BLOCK:
+                score[but - block * BLOCK] = 0.0
+            found = np.flatnonzero(score)
+            best_rows, best = np.concatenate([best_rows, block * BLOCK + found]), np.concatenate([best, score[found]])
             keep = np.lexsort((best_rows, -np.round(best, 12)))[:k]
             best_rows, best = best_rows[keep], best[keep]
         return best_rows, best
@@ -132,22 +134,29 @@ class Model:
     share: float
     empty: float
     steps: tuple[np.ndarray, np.ndarray]
-    words: dict[str, list[str]] = field(default_factory=dict)
     seen: dict[tuple, tuple] = field(default_factory=dict)
+    finder: object = None
 
-    def __post_init__(self):
-        self.stems = {s for s, _ in self.number}
+    def __getstate__(self):
+        return self.__dict__ | {"seen": {}, "finder": None}
 
     def counts(self, text: str | None) -> Counter:
-        words, out, cache = Counter(_WORD.findall((text or "").lower())), Counter(), self.words
-        if len(cache) > 500_000:
-            cache.clear()
-        for w, n in words.items():
-            own = cache.get(w)
-            if own is None:
-                own = cache[w] = [s for s in stems(w) if s in self.stems]
-            for s in own:
-                out[s] += n
+        """Occurrences of the model's stems, which one automaton finds in one pass over the text."""
+        if self.finder is None:
+            self.finder = ahocorasick.Automaton()
+            for s in sorted({s for s, _ in self.number}):
+                bare = s.removesuffix("*")
+                self.finder.add_word(bare, (*self.finder.get(bare, ()), s))
+            self.finder.make_automaton()
+        out: Counter = Counter()
+        low = (text or "").lower()
+        inside = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+        for last, found in self.finder.iter(low) if len(self.finder) else ():
+            if not inside(last - len(found[0].removesuffix("*"))):
+                longer = inside(last + 1)
+                for s in found:
+                    if s.endswith("*") == longer:
+                        out[s] += 1
         return out
 
     def terms(self, text: str | None) -> tuple[int, ...]:
@@ -212,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
     spark = prepare(docs.sparkSession)
     chosen = [(r.doc_id, r.toxic) for r in sample(labels, examples).collect()]
     known = spark.createDataFrame(chosen, "__id long, __toxic int")
-    labelled = _docs(docs).join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic")
+    labelled = materialise(_docs(docs).join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic"), "examples")
 
     def tally(it):
         pos, neg, n = Counter(), Counter(), Counter()
@@ -225,16 +234,16 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
         yield pa.RecordBatch.from_arrays(columns, ["stem", "nth", "pos", "neg"])
 
     tallied = labelled.mapInArrow(tally, "stem string, nth int, pos long, neg long").groupBy("stem", "nth").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    tallied = tallied.where(f"stem is null or pos + neg >= {LEAST_DF}")
+    tallied = materialise(tallied.where(f"stem is null or pos + neg >= {LEAST_DF}"), "tallied")
     totals = tallied.where("stem is null").first()
     if totals is None or not totals.pos or not totals.neg:
         return None
     n_pos, n_neg = float(totals.pos), float(totals.neg)
-    rate = lambda a, n: F.col(a) / F.lit(n)
-    likely = F.abs(rate("pos", n_pos) - rate("neg", n_neg)) / F.sqrt((F.col("pos") + F.col("neg")) / F.lit(n_pos + n_neg))
-    rows = tallied.where("stem is not null").orderBy(F.desc(likely), "stem", "nth").limit(4 * TERMS).collect()
+    often = F.col("pos") / F.lit(n_pos) >= LIFT * F.col("neg") / F.lit(n_neg)
+    rows = tallied.where("stem is not null").where(often).orderBy(F.desc("pos"), "neg", "stem", "nth").limit(4 * TERMS).collect()
     g = _log_ratio(np.array([r.pos for r in rows], float), np.array([r.neg for r in rows], float), n_pos, n_neg)
-    best = [i for i in np.argsort(-np.abs(g), kind="stable") if g[i] >= TELLING][:TERMS]
+    least = telling(tallied.count() - 1)
+    best = [i for i in np.argsort(-np.abs(g), kind="stable") if g[i] >= least][:TERMS]
     number = {(rows[i].stem, rows[i].nth): j for j, i in enumerate(best)}
     names = [s if n == 1 else f"{s}#{n}" for s, n in number]
     blank = Model(number, names, np.ones(len(number)), Index(np.zeros(0, np.int64), np.zeros(0), {}), n_pos / (n_pos + n_neg), 0.0, (np.zeros(1), np.zeros(1)))
@@ -261,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
 
 
 def _finish(number: dict, names: list[str], idf: np.ndarray, found: list[tuple[int, int, tuple[int, ...]]]) -> Model:
-    own = [f for f in found if f[2]]
+    own = sorted((f for f in found if f[2]), key=lambda f: (f[2], f[0]))  # like examples share blocks
     empty = [f[1] for f in found if not f[2]]
     lists: dict[int, tuple[list[int], list[float]]] = {}
     model = Model(number, names, idf, Index(np.zeros(0, np.int64), np.zeros(0), {}), sum(f[1] for f in found) / max(1, len(found)), (sum(empty) + 0.5) / (len(empty) + 1), (np.zeros(1), np.zeros(1)))
