@@ -60,7 +60,8 @@ def directory(keys: DataFrame, bucket_entries: int, max_bits: int) -> DataFrame:
     cut = F.expr(f"shiftright(prefix, {max_bits} - depth)")
     sized = levels.groupBy("depth", cut.alias("bucket")).agg(F.sum("n").alias("entries"))
     fits = sized.where((F.col("entries") <= bucket_entries) | (F.col("depth") == max_bits))
-    each = levels.select("prefix", "depth", cut.alias("bucket")).join(fits.select("depth", "bucket"), ["depth", "bucket"])
+    fits = F.broadcast(fits.select("depth", "bucket"))  # at most 2 ** (max_bits + 1) rows
+    each = levels.select("prefix", "depth", cut.alias("bucket")).join(fits, ["depth", "bucket"])
     first = each.groupBy("prefix").agg(F.min("depth").alias("depth"))
     return first.select("prefix", "depth", cut.alias("bucket"))
 
