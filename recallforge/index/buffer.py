@@ -23,7 +23,7 @@ class WriteBuffer:
         found = self.index.search_mode_a(queries, k, self.nprobe).drop("rank")
         if self.rows is not None:
             found = found.unionByName(nearest(self.rows, queries, k).drop("rank"))
-        return merge_unique(found, ["query_id"], "vec_id", [F.asc("distance"), F.asc("vec_id")], k)
+        return merge_unique(found, ["query_id"], "vec_id", [F.asc("distance"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "distance")
 
     def compact(self, n_grains: int | None = None) -> None:
         """Move the buffered rows into the index; they stay visible until that is done."""

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.topk import best_per
+from ..operators.topk import best_per, merge_unique
 from ..session import prepare
 from ..sources.files import Files
 from . import grain as grains, kmeans, shared_pq
@@ -200,15 +200,15 @@ class GrainIndex:
         return [(r[0], np.array(r[1], float)) for r in queries.select("query_id", "embedding").toLocalIterator()]
 
     def _rerank(self, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        once = best_per(found, ["query_id", "vec_id"], [F.asc("approx"), F.asc("grain_id")], 1).drop("rank")
         if self.raw is not None:
             from ..functions.distance import l2_squared
 
-            near = once.join(self.raw.select("vec_id", F.col("embedding").alias("__x")), "vec_id", "left").join(queries.select("query_id", "embedding"), "query_id")
-            once = near.withColumn("sq", F.coalesce(l2_squared(F.col("__x"), F.col("embedding"), self.dim), F.col("recon")))
+            near = found.join(self.raw.select("vec_id", F.col("embedding").alias("__x")), "vec_id", "left").join(queries.select("query_id", "embedding"), "query_id")
+            found = near.withColumn("sq", F.coalesce(l2_squared(F.col("__x"), F.col("embedding"), self.dim), F.col("recon")))
         else:
-            once = once.withColumn("sq", F.col("recon"))
-        return best_per(once, ["query_id"], [F.asc("sq"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", F.sqrt("sq").alias("distance"))
+            found = found.withColumn("sq", F.col("recon"))
+        # An id may be in several grains and several times in the raw rows: its nearest row counts.
+        return merge_unique(found, ["query_id"], "vec_id", [F.asc("sq"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", F.sqrt("sq").alias("distance"))
 
     def search_mode_a(self, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
         """Best k * rerank_factor of every probed grain, merged and reranked; with rerank_factor 0 the

@@ -17,7 +17,7 @@ from .files import Files
 #: Magic of matrix files of vectors and of queries; then version, rows, dimensions and f32 values, all
 #: little-endian (a fixed format).
 MAGIC = {"vectors": b"HNTR", "queries": b"HNTQ"}
-VERSION = 1
+VERSION, OLDEST = 4, 1
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +50,7 @@ def _rows_of_vecs(data: bytes, kind: str) -> np.ndarray:
 
 def _rows_of_matrix(data: bytes, kind: str) -> np.ndarray:
     magic, version, n, dim = struct.unpack_from("<4sIII", data)
-    if magic != MAGIC[kind] or version != VERSION or len(data) != 16 + 4 * n * dim:
+    if magic != MAGIC[kind] or not OLDEST <= version <= VERSION or len(data) != 16 + 4 * n * dim:
         raise ValueError(f"not a file of {kind}")
     return np.frombuffer(data, "<f4", offset=16).reshape(n, dim)
 
