@@ -89,6 +89,15 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+             d AS (SELECT *, array_to_string(list_transform(range(32), lambda i:
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '') AS payload_digest,
+                       max(page_id) OVER (PARTITION BY h) AS original FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> original THEN original END AS refers_to
+        FROM d
+    """,
     "op6_sharding": r"""
         WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 9))::BIGINT AS h FROM documents),
              l AS (SELECT depth, h >> (36 - depth) AS code, count(*) AS docs, sum(bytes)::BIGINT AS size
