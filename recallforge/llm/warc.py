@@ -183,7 +183,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     flat = found.select("page_id", "response.record_id", "response.type", "response.refers_to", "response.payload_bytes", "response.payload_digest")
     flat = materialise(flat, "captures")
     origin = flat.where("type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("origin_page"), F.max("payload_bytes").alias("origin_bytes"), F.max("payload_digest").alias("origin_digest"))
-    origin = origin.withColumnRenamed("record_id", "origin_id")
+    # Written first, so that the skewed side of the join can be split: one response may have most revisits.
+    origin = materialise(origin.withColumnRenamed("record_id", "origin_id"), "origins")
     out = flat.join(origin, flat["refers_to"] == origin["origin_id"], "left")
     return out.select(
         "page_id", F.coalesce("payload_bytes", "origin_bytes").alias("payload_bytes"), F.coalesce("origin_digest", "payload_digest").alias("payload_digest"),
