@@ -8,9 +8,8 @@ reranks against raw vectors where there are any, else against reconstructions.
 
 from __future__ import annotations
 
-import pickle
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.topk import best_per, merge_unique
 from ..session import prepare
 from ..sources.files import Files
-from . import grain as grains, kmeans, shared_pq
+from . import grain as grains, kmeans, shared_pq, store
 
 CODES = "grain_id int, ordinal int, vec_id long, coords array<smallint>, residual int, sketch array<tinyint>, pq array<smallint>"
 
@@ -152,7 +151,7 @@ class GrainIndex:
             self._train(x, np.searchsorted(full, own))
             self.codes = self._encode(self.raw)
             if self.router is not None:
-                self.router = type(self.router)(self.centroids)
+                self.router = store.router_from(store.router_parts(self.router), self.centroids)
         return done
 
     # -- searching -------------------------------------------------------------------------------
@@ -261,12 +260,12 @@ class GrainIndex:
 
     def save(self, path: str) -> None:
         self.codes.write.partitionBy("grain_id").parquet(f"{path}/codes")
-        Files(self.spark).publish(f"{path}/model.bin", pickle.dumps((self.dim, self.options, self.centroids, self.models, self.shared, self.router)))
+        Files(self.spark).publish(f"{path}/model.json", store.dump(dim=self.dim, options=asdict(self.options), centroids=self.centroids, models=self.models, shared=self.shared, router=store.router_parts(self.router)))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "GrainIndex":
-        """A saved index, without raw vectors. Model files are to come from a trusted store."""
-        dim, options, centroids, models, shared, router = pickle.loads(Files(spark).read(f"{path}/model.bin"))
-        out = GrainIndex(spark, dim, options, centroids, models, shared, None, None, router)
+        """A saved index, without raw vectors."""
+        m = store.load(Files(spark).read(f"{path}/model.json"))
+        out = GrainIndex(spark, m["dim"], Options(**m["options"]), m["centroids"], m["models"], m["shared"], None, None, store.router_from(m["router"], m["centroids"]))
         out.codes = spark.read.schema(CODES).parquet(f"{path}/codes")
         return out

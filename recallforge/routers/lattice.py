@@ -17,7 +17,7 @@ class Lattice:
     def __init__(self, centroids: np.ndarray, dims: int = LATTICE_DIMS, spacing: float = 1.0):
         if spacing <= 0:
             raise ValueError("spacing is positive")
-        self.c, self.spacing = guard(centroids), spacing
+        self.c, self.spacing, self.settings = guard(centroids), spacing, {"dims": dims, "spacing": spacing}
         self.basis, _ = pca(self.c, min(dims, LATTICE_DIMS, self.c.shape[1]))
         self.cells = np.rint(self.c @ self.basis.T / spacing)
 
@@ -32,7 +32,7 @@ class HierarchicalLattice:
     one Z-order key. A window around the query's place in key order is ranked by cell distance."""
 
     def __init__(self, centroids: np.ndarray, layers: tuple[int, ...] = (4, 4), spacing: float | tuple[float, ...] | None = None):
-        self.c = guard(centroids)
+        self.c, self.settings = guard(centroids), {"layers": tuple(layers), "spacing": spacing}
         self.mean = self.c.mean(axis=0)
         left, self.bases, self.spacings, cells, self.residual_energy = self.c - self.mean, [], [], [], [float(((self.c - self.mean) ** 2).sum())]
         for i, dims in enumerate(layers):

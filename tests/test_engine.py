@@ -429,9 +429,16 @@ def test_index(spark, tmp_path):
     for more_options in ({"shared_parts": 4, "shared_bits": 4}, {"residual_bits": 2}, {"adaptive": 0.8}):
         other = GrainIndex(spark, 8, Options(8, 4, rerank_factor=8, **more_options)).build(table(spark, x), 4)
         assert share(other.search_mode_b(queries, 10, 100)) > 0.9
+        other.save(f"file://{tmp_path}/{len(other.centroids)}-{next(iter(more_options))}")
+        kept = GrainIndex.load(spark, f"file://{tmp_path}/{len(other.centroids)}-{next(iter(more_options))}")
+        assert kept.encoded_bytes() == other.encoded_bytes() and share(kept.search_mode_b(queries, 10, 100)) > 0.3
     index = GrainIndex(spark, 8, Options(8, 4, rerank_factor=8)).build(table(spark, x), 12)
     index.router = lattice.HierarchicalLattice(index.centroids)
     assert share(index.search_mode_a(queries, 10, 8)) > 0.7
+    index.save(f"file://{tmp_path}/j")
+    again = GrainIndex.load(spark, f"file://{tmp_path}/j")
+    again.attach_raw_vectors(table(spark, x))
+    assert again.search_mode_a(queries, 10, 8).collect() == index.search_mode_a(queries, 10, 8).collect()
     split = GrainIndex(spark, 8, Options(8, 4, block_size=16, split_at=100)).build(table(spark, x), 2)
     assert split.split_large() == 2 and len(split.centroids) == 4 and split.codes.count() == 500
 
