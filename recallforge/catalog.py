@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -250,12 +252,33 @@ def recall_with_memtable(spark, sf_dir):
     return _hits(recalls.recall(rows, RecallQuery(embedding=_vector(spark, sf_dir)), None, live, gone))
 
 
-@_register()
+@_register(f"""WITH {_LATEST}, {RECORDS_SQL},
+    cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY score DESC, record_id) AS n FROM (SELECT *, {_score_sql('d', 0)} AS score FROM (SELECT *, sqrt({_l2('embedding', _Q)}) AS d FROM records))) WHERE n <= 10),
+    tiers AS (SELECT segment_id, record_id, d, score FROM cut WHERE record_id NOT IN (SELECT record_id FROM latest)
+        UNION ALL SELECT 9223372036854775807, record_id, d, -d + 0.01::DOUBLE * len(list_distinct(symbols)) + 0.99::FLOAT::DOUBLE
+        FROM (SELECT *, {_l2('embedding', _Q)} AS d FROM records WHERE record_id IN (SELECT record_id FROM latest WHERE op = 'insert')))
+    SELECT rank, record_id, round(score, 6) AS score, round(d, 6) AS semantic_distance, 0 AS symbol_matches FROM (
+        SELECT *, row_number() OVER (ORDER BY score DESC, segment_id, record_id)::INTEGER AS rank FROM tiers) WHERE rank <= 10""")
 def recall_strict_compat(spark, sf_dir):
     rows, live, gone = _tiers(spark, sf_dir)
     return _hits(recalls.recall(rows, RecallQuery(embedding=_vector(spark, sf_dir)), None, live, gone, strict_compat=True))
 
 
+@_register(_memory_sql(False).replace("SELECT segment_id, record_id, symbols", "SELECT 1 AS segment_id, record_id, symbols"))
+def space_lifecycle(spark, sf_dir):
+    """The same recall through a collection: records flushed to a segment, then replaced and deleted through the log."""
+    from .space import Collection
+    from .streaming.streams import shared_dir
+
+    rows, live, gone = _tiers(spark, sf_dir)
+    with Collection(spark, f"{shared_dir(spark)}/space-{uuid.uuid4().hex}", flush_at=1 << 60).space as space:
+        space.insert_many(rows.drop("segment_id", "local_id"))
+        space.flush()
+        space.insert_many(live)
+        space.delete(*[r[0] for r in gone.collect()])
+        return _hits(space.recall(RecallQuery(embedding=_vector(spark, sf_dir))))
+
+
 @_register(f"""WITH {_LATEST}, {RECORDS_SQL} SELECT segment_id, record_id, confidence FROM records WHERE record_id NOT IN (SELECT record_id FROM latest)
     UNION ALL SELECT 10, record_id, 0.99::FLOAT FROM records WHERE record_id IN (SELECT record_id FROM latest WHERE op = 'insert')""")
 def flush_compaction(spark, sf_dir):
@@ -472,6 +495,68 @@ def hlr_route(spark, sf_dir):
     return _routed(spark, sf_dir, lambda x: lambda q, t=HierarchicalLattice(x): t.route(q, 10))
 
 
+@_register()
+def block_graph_route(spark, sf_dir):
+    from .research.graphs import BlockGraph
+
+    return _routed(spark, sf_dir, lambda x: lambda q, t=BlockGraph(x): t.route(q, 10))
+
+
+@_register()
+def point_graph_route(spark, sf_dir):
+    from .research.graphs import PointGraph
+
+    return _routed(spark, sf_dir, lambda x: lambda q, t=PointGraph(x): t.route(q, 10))
+
+
+@_register()
+def landmark_route(spark, sf_dir):
+    from .research.routers import Landmarks
+
+    return _routed(spark, sf_dir, lambda x: lambda q, t=Landmarks(x): t.route(q, 10))
+
+
+@_register()
+def spill_tree_route(spark, sf_dir):
+    from .research.routers import SpillTree
+
+    return _routed(spark, sf_dir, lambda x: lambda q, t=SpillTree(x, dims=8): t.route(q, 10))
+
+
+@_register()
+def curve_route(spark, sf_dir):
+    from .research.routers import CurveOrder
+
+    return _routed(spark, sf_dir, lambda x: lambda q, t=CurveOrder(x): t.route(q, 10))
+
+
+@_register()
+def chunked_rerank(spark, sf_dir):
+    from .research.routers import chunked_rerank as rerank
+
+    return _routed(spark, sf_dir, lambda x: lambda q: rerank(x, np.arange(len(x)), q, 10))
+
+
+@_register()
+def tfidf_projection(spark, sf_dir):
+    from .research import text
+
+    found = text.project(text.tfidf(_read(spark, sf_dir, "documents")), 16)
+    return found.select("doc_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("embedding"))
+
+
+@_register("SELECT vec_id, 64 AS n FROM embeddings")
+def f16_roundtrip(spark, sf_dir):
+    """Half floats read back: how many of a vector's values are within half a unit in the last place."""
+    from .sources import cold
+
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("local_id"), "embedding")
+    back = cold.decode(cold.encode(rows, "f16"), "f16").withColumnRenamed("embedding", "half")
+    near = F.zip_with("embedding", "half", lambda a, b: F.abs(a.cast("double") - b) <= F.greatest(F.abs(a.cast("double")) / 2048, F.lit(2.0**-25)))
+    both = rows.join(back, "local_id")
+    return both.select(F.col("local_id").cast("long").alias("vec_id"), F.size(F.filter(near, lambda ok: ok)).alias("n"))
+
+
 @_register()
 def balanced_kmeans(spark, sf_dir):
     from .index.kmeans import balanced

@@ -1,7 +1,8 @@
 """Operation log: batches of inserts and deletes, each appended as one atomic file set with checksums.
 
-A batch becomes visible when its commit file is created; its rows have consecutive numbers. Replay
-keeps the last operation of each record.
+A batch becomes visible when its commit file is created. Its rows are numbered by the tasks that write
+them, upwards from the batch's first number, so a large batch needs no single task. Replay keeps the
+last operation of each record.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ def checksum():
 
 
 def inserts(records: DataFrame, first: int) -> DataFrame:
-    """Log rows that insert records, numbered from `first` in the order of record_id."""
-    place = F.row_number().over(Window.orderBy("record_id")) - 1  # a batch of inserts, not the table
+    """Log rows that insert records, numbered from `first` in the order of rows, with gaps between tasks."""
     rows = records.withColumn("__record", F.struct(*[f.name for f in RECORD.fields]))
-    return rows.select((place + first).cast("long").alias("seq"), F.lit("insert").alias("op"), "record_id", F.col("__record").alias("record"))
+    return rows.select((F.monotonically_increasing_id() + first).alias("seq"), F.lit("insert").alias("op"), "record_id", F.col("__record").alias("record"))
 
 
 def deletes(spark: SparkSession, ids: list[int], first: int) -> DataFrame:
@@ -47,25 +47,27 @@ class OpLog:
             except ValueError as e:
                 raise ValueError(f"commit {name} of the operation log is torn") from e
         for a, b in zip(out, out[1:]):
-            if b["first"] != a["first"] + a["n"]:
+            if b["first"] != a["next"]:
                 raise ValueError(f"the operation log has a gap before {b['first']}")
         return out
 
     def next(self) -> int:
         done = self.batches()
-        return done[-1]["first"] + done[-1]["n"] if done else 0
+        return done[-1]["next"] if done else 0
 
     def append(self, rows: DataFrame, first: int) -> int:
         """Write rows, then create the commit; a second writer of the same number fails there."""
         data = f"{self.path}/data/{first:020d}"
         rows.withColumn("checksum", checksum()).write.mode("overwrite").parquet(data)
-        n = self.spark.read.parquet(data).count()
-        self.files.create(f"{self.path}/commits/{first:020d}.json", json.dumps({"first": first, "n": n, "data": data}).encode())
+        n, last = self.spark.read.parquet(data).agg(F.count("*"), F.max("seq")).first()
+        commit = {"first": first, "next": first if last is None else last + 1, "n": n, "data": data}
+        if n:
+            self.files.create(f"{self.path}/commits/{first:020d}.json", json.dumps(commit).encode())
         return n
 
     def read(self, since: int = 0, verify: bool = True) -> DataFrame:
         """Rows numbered `since` on. A batch whose rows are missing or changed is an error."""
-        batches = [b for b in self.batches() if b["first"] + b["n"] > since]
+        batches = [b for b in self.batches() if b["next"] > since]
         if not batches:
             return self.spark.createDataFrame([], OPLOG)
         rows = self.spark.read.schema(OPLOG).parquet(*[b["data"] for b in batches])

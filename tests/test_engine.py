@@ -219,23 +219,24 @@ def test_log_damage(spark, tmp_path):
     log = oplog.OpLog(spark, f"file://{tmp_path}/log")
     rows = frame(spark, [row(1), row(2)])
     log.append(oplog.inserts(rows, 0), 0)
-    log.append(oplog.deletes(spark, [1, 5], 2), 2)
-    assert log.next() == 4 and log.read(2).count() == 2
+    at = log.next()
+    log.append(oplog.deletes(spark, [1, 5], at), at)
+    assert log.next() == at + 2 and log.read(at).count() == 2
     live, gone = oplog.replay(log.read())
     assert ids(live) == [2] and sorted(ids(gone)) == [1, 5]
     with pytest.raises(Exception):
-        log.append(oplog.deletes(spark, [9], 2), 2)
-    path = tmp_path / "log/commits/00000000000000000002.json"
+        log.append(oplog.deletes(spark, [9], at), at)
+    path = tmp_path / f"log/commits/{at:020d}.json"
     good = path.read_bytes()
     for damage in (good[:5], good.replace(b'"n": 2', b'"n": 3')):
         path.write_bytes(damage)
         (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
         with pytest.raises(ValueError):
             log.read()
-    assert log.repair() == 1 and log.next() == 2 and log.read().count() == 2
+    assert log.repair() == 1 and log.next() == at and log.read().count() == 2
     changed = log.read().withColumn("record_id", F.lit(8).cast("long"))
     changed.coalesce(1).write.parquet(f"file://{tmp_path}/log/data/x")
-    (tmp_path / "log/commits/00000000000000000002.json").write_text(json.dumps({"first": 2, "n": 2, "data": f"file://{tmp_path}/log/data/x"}))
+    path.write_text(json.dumps({"first": at, "next": at + 2, "n": 2, "data": f"file://{tmp_path}/log/data/x"}))
     with pytest.raises(ValueError, match="checksum"):
         log.read()
 
