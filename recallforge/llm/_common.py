@@ -25,8 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 would hold tens of MB of texts a batch outside the
+#: heap, in the JVM and in the worker; a smaller setting of the session stays.
+BATCH_ROWS = 1000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is not installed on them."""
+    """Let Python workers import this package where it is not installed on them, in small batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
@@ -59,6 +66,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = BATCH_ROWS):
+    """Arrow batches cut to at most `rows` rows, so that a worker holds few texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def release(spark: SparkSession) -> int:
     """Delete all scratch tables made so far; returns how many. Results must have been written."""
     jvm, n = spark.sparkContext._jvm, 0

@@ -7,8 +7,8 @@ here, exactly one forms, with the last token of what stands before it, a pair th
 apart. A prefix that many words share is therefore computed once; a word's tokens are read backwards
 from its node. Decoding concatenates the tokens' bytes.
 
-Work is one pass over the documents without a shuffle. A worker keeps a cache of words of bounded
-size (CACHED) between batches; it is emptied when full, which changes no result.
+Work is one pass over the documents without a shuffle. Between batches a worker keeps the words that
+were in two texts of a batch, CACHED at most; the cache is emptied when full, which changes no result.
 
 Defined cases: null and empty texts have no tokens and the digest of the empty string; the added
 token's string inside a text becomes that token, as the tokenizers library does by default; equal
@@ -26,10 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import prepare
+from ._common import prepare, slices
 
 #: Words that a worker keeps, and the longest word (bytes) that is kept.
-CACHED, KEPT_BYTES = 500_000, 64
+CACHED, KEPT_BYTES = 150_000, 64
 #: The pre-tokenizer's pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -113,7 +113,7 @@ class ByteBPE:
         known = self.apart.get((left, right))
         if known is None:
             known = self.apart[left, right] = self._stands(left, right)
-            if len(self.apart) > 4 * CACHED:
+            if len(self.apart) > 2 * CACHED:
                 self.apart.clear()
         return known
 
@@ -196,14 +196,16 @@ class ByteBPE:
             self.words.clear()
         for s, i in self.added.items():
             self.words[s] = self._entry([i])
-        distinct: set[str] = set()
+        distinct, again = set(), set(self.added)
         for words in cut:
-            distinct.update(words)
+            own = set(words)
+            again |= own & distinct
+            distinct |= own
         new = distinct - self.words.keys()
         self.encode_words(list(new))
         out = [list(map(self.words.__getitem__, words)) for words in cut]
         for w in new:
-            if len(w) > KEPT_BYTES:
+            if len(w) > KEPT_BYTES or w not in again:
                 del self.words[w]
         return out
 
@@ -240,7 +242,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def batches(it):
         bpe = load(path)
-        for b in it:
+        for b in slices(it):
             n, ids, decoded = [], [], []
             for run in _chunks(b.column(1).to_pylist()):
                 for k, joined, raw in bpe.encode_batch(run):
@@ -261,7 +263,7 @@ def encode(docs: DataFrame, path: str, *kept: str) -> DataFrame:
 
     def batches(it):
         bpe = load(path)
-        for b in it:
+        for b in slices(it):
             packed = [b"".join([g[2] for g in got]) for run in _chunks(b.column(len(names)).to_pylist()) for got in bpe.entries(run)]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
@@ -276,7 +278,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def batches(it):
         raw = load(path).bytes_of
-        for b in it:
+        for b in slices(it):
             texts = [b"".join(map(raw.__getitem__, ids or [])).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ._common import prepare
+from ._common import prepare, slices
 
 #: Longest k-gram; templates with fewer words use k-grams of their own length. Three packed words.
 K = 3
@@ -135,7 +135,7 @@ def text_grams(docs: DataFrame, known: list[Template]) -> DataFrame:
 
     def batches(it):
         grams = Grams(known)
-        for b in it:
+        for b in slices(it):
             n, at, packed = [], [], []
             for text in b.column(2).to_pylist():
                 found = words(text)

@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import prepare
+from ._common import prepare, slices
 
 RATE = 8000
 UNKNOWN = "application/octet-stream"
@@ -209,7 +209,7 @@ def store(docs: DataFrame, block: int = 576) -> DataFrame:
     prepare(docs.sparkSession)
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             made = [padded(t, block) for t in b.column(1).to_pylist()]
             columns = [b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([UNKNOWN] * len(made), pa.string()), pa.array([store_pcm(p) for p, _ in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "declared", "media"])
@@ -228,7 +228,7 @@ def sniff(stored: DataFrame, name: str = "media", declared: str = "declared") ->
     spec = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             found = [parts(m) if m is not None else [] for m in b.column(kept.index(name)).to_pylist()]
             types = [f[0][0] if f and f[0][1] == 0 else UNKNOWN for f in found]
             said = b.column(kept.index(declared)).to_pylist()
@@ -254,7 +254,7 @@ def digests(stored: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in shape.split(", ")]
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             rows = []
             for doc_id, n, declared, media in zip(*(b.column(i).to_pylist() for i in range(4))):
                 found = parts(media)

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import materialise, prepare
+from ._common import materialise, prepare, slices
 from .components import connected_components
 
 #: Shingles whose bits are counted at once, which bounds the memory of a very long text.
@@ -53,7 +53,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFr
     prepare(docs.sparkSession)
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             fps = [fingerprint(t, width, seed) for t in b.column(1).to_pylist()]
             fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64) if fps else [], type=pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])

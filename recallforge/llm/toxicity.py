@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import materialise, prepare
+from ._common import materialise, prepare, slices
 
 #: Labelled examples of each class at most; terms kept at most, and how often a term must occur.
 EXAMPLES, TERMS, LEAST_DF = 4000, 2000, 3
@@ -183,7 +183,7 @@ class Model:
             top = sorted(terms, key=lambda t: -self.idf[t])[:5]
             value = self.calibrated(self.vote(rows, cosines)) if len(rows) else self.empty
             known = value, self.index.ids[rows[:5]].tolist(), [self.names[t] for t in top]
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
             self.seen[terms] = known
         return known
@@ -224,14 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
     labelled = materialise(_docs(docs).join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic"), "examples")
 
     def tally(it):
-        pos, neg, n = Counter(), Counter(), Counter()
-        for b in it:
+        for b in slices(it, 250):  # counts of a slice go out at once, which bounds their number
+            pos, neg, n = Counter(), Counter(), Counter()
             for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 n[toxic] += 1
                 (pos if toxic else neg).update(repeated(term_counts(text)))
-        keys = [*pos.keys() | neg.keys()]
-        columns = [pa.array([k[0] for k in keys] + [None], pa.string()), pa.array([k[1] for k in keys] + [0], pa.int32()), pa.array([pos[k] for k in keys] + [n[1]], pa.int64()), pa.array([neg[k] for k in keys] + [n[0]], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["stem", "nth", "pos", "neg"])
+            keys = [*pos.keys() | neg.keys()]
+            columns = [pa.array([k[0] for k in keys] + [None], pa.string()), pa.array([k[1] for k in keys] + [0], pa.int32()), pa.array([pos[k] for k in keys] + [n[1]], pa.int64()), pa.array([neg[k] for k in keys] + [n[0]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["stem", "nth", "pos", "neg"])
 
     tallied = labelled.mapInArrow(tally, "stem string, nth int, pos long, neg long").groupBy("stem", "nth").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     tallied = materialise(tallied.where(f"stem is null or pos + neg >= {LEAST_DF}"), "tallied")
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
 
     def frequencies(it):
         df, n = np.zeros(len(number), np.int64), 0
-        for b in it:
+        for b in slices(it):
             for text in b.column(1).to_pylist():
                 n += 1
                 df[list(blank.terms(text))] += 1
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
     idf = np.array([math.log((counted[-1] + 1) / (counted.get(i, 0) + 1)) + 1.0 for i in range(len(number))])
 
     def vectors(it):
-        for b in it:
+        for b in slices(it):
             terms = [blank.terms(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(terms, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms"])
 
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def batches(it):
         own = sent.value
-        for b in it:
+        for b in slices(it):
             found = [own.score(t) for t in b.column(1).to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "score", "near", "telling"])
@@ -311,7 +311,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
 
     def batches(it):
         own = sent.value
-        for b in it:
+        for b in slices(it):
             yield b.filter(pa.array([own.score(t)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)
