@@ -90,7 +90,8 @@ def duplicates(docs: DataFrame, bucket_entries: int = 1_000_000, max_bits: int =
 
 def drop_copies(docs: DataFrame, bucket_entries: int = 1_000_000, max_bits: int = 16) -> DataFrame:
     """docs with all its columns, of equal texts only the row that stays."""
-    kept = duplicates(docs, bucket_entries, max_bits).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("points").alias("__points"))
-    with_key = docs.withColumns({"__key": F.sha2(normalised(docs["text"]), 256), "__len": F.char_length(F.coalesce(docs["text"].cast("string"), F.lit("")))})
-    same = with_key["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (with_key["__key"] == kept["__sha"]) & (with_key["__len"] == kept["__points"])
-    return with_key.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "__key", "__len"]).drop("__key", "__len")
+    # Null-safe keys as plain columns: the join's partitioning then serves dropDuplicates as well.
+    own = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
+    kept = duplicates(docs, bucket_entries, max_bits).where("kept").select(*[c.alias(k) for k, c in own.items()], F.col("text_sha256").alias("__sha"), F.col("points").alias("__points"))
+    key = own | {"__sha": F.sha2(normalised(docs["text"]), 256), "__points": F.char_length(F.coalesce(docs["text"].cast("string"), F.lit("")))}
+    return docs.withColumns(key).join(kept.hint("shuffle_hash"), [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)

@@ -98,6 +98,7 @@ def keep_one(docs: DataFrame, bits: int = 2, width: int = 3, seed: int = 42) ->
     only where their component has no id at all.
     """
     found = near_duplicates(docs, bits, width, seed)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
-    return named.dropDuplicates(["doc_id"])
+    # Null-safe keys as plain columns: the join's partitioning then serves dropDuplicates as well.
+    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
+    kept = found.where("doc_id <=> component_id").select(*[c.alias(k) for k, c in key.items()]).distinct()
+    return docs.withColumns(key).join(kept.hint("shuffle_hash"), [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)
