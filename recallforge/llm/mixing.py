@@ -27,8 +27,7 @@ DECIMALS = 4
 
 def size_of(text: Column) -> Column:
     r"""Words `[^\x20\x09-\x0D]+`."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def _weighed(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
