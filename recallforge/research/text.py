@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 TOKEN = r"[a-z]{3,15}"
@@ -32,11 +34,11 @@ def tfidf(docs: DataFrame, most: int = 4096) -> DataFrame:
 def project(weights: DataFrame, dim: int = 128, seed: int = 42) -> DataFrame:
     """doc_id and embedding: Gaussian random projection of TF-IDF vectors, length 1. A term's direction
     follows from the seed and the term, so every partition uses the same."""
-    rows = weights.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("pos"), "term", "weight")
-    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "term", "pos"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(F.lit(2 * np.pi) * uniform(2))
-    sums = rows.groupBy("doc_id", "pos").agg(F.sum(F.col("weight") * normal).alias("v"))
-    vectors = sums.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("v"))
+    uniform = lambda salt, pos: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "term", pos), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    normal = lambda pos: F.sqrt(-2 * F.log(uniform(1, pos))) * F.cos(F.lit(2 * np.pi) * uniform(2, pos))
+    rows = weights.select("doc_id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda pos: F.col("weight") * normal(pos))).alias("v"))
+    sums = rows.groupBy("doc_id").agg(Summarizer.sum(F.col("v")).alias("v"))
+    vectors = sums.select("doc_id", vector_to_array("v").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return vectors.select("doc_id", F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float")).alias("embedding"))
 
