@@ -7,10 +7,14 @@ lost. Call :func:`release` when the results that read them have been written.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of `[\x20\x09-\x0D]`, the white space of the contracts.
@@ -18,6 +22,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _made: list[str] = []
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and "glibc" in " ".join(os.confstr(n) or "" for n in ("CS_GNU_LIBC_VERSION",) if n in os.confstr_names) else None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +71,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give free memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches, rows: int = BATCH_ROWS):
-    """Arrow batches cut to at most `rows` rows, so that a worker holds few texts as Python objects."""
+    """Arrow batches cut to at most `rows` rows, so that a worker holds few texts as Python objects.
+
+    After the last one the worker's free memory goes back to the system: workers live on between stages.
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    b = None
+    trim()
 
 
 def release(spark: SparkSession) -> int:

@@ -7,8 +7,8 @@ here, exactly one forms, with the last token of what stands before it, a pair th
 apart. A prefix that many words share is therefore computed once; a word's tokens are read backwards
 from its node. Decoding concatenates the tokens' bytes.
 
-Work is one pass over the documents without a shuffle. Between batches a worker keeps the words that
-were in two texts of a batch, CACHED at most; the cache is emptied when full, which changes no result.
+Work is one pass over the documents without a shuffle. Within a task a worker keeps the words it has seen,
+CACHED at most; a full cache is emptied, which changes no result.
 
 Defined cases: null and empty texts have no tokens and the digest of the empty string; the added
 token's string inside a text becomes that token, as the tokenizers library does by default; equal
@@ -26,10 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import prepare, slices
+from ._common import prepare, slices, trim
 
 #: Words that a worker keeps, and the longest word (bytes) that is kept.
-CACHED, KEPT_BYTES = 150_000, 64
+CACHED, KEPT_BYTES = 450_000, 64
 #: The pre-tokenizer's pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -45,7 +45,8 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBPE:
     """A byte-level BPE vocabulary read from a tokenizers JSON file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, packed: bool = False):
+        """packed: keep words' ids as 32-bit numbers, else as text together with the decoded bytes."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte, model = byte_alphabet(), spec["model"]
@@ -72,10 +73,11 @@ class ByteBPE:
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.width = {i: len(b) for i, b in self.bytes_of.items()}
-        self.text_of = {i: str(i) for i in self.bytes_of}
-        self.packed_of = {i: np.array([i], "<i4").tobytes() for i in self.bytes_of}
+        self.text_of = {} if packed else {i: str(i) for i in self.bytes_of}
+        self.packed_of = {i: i.to_bytes(4, "little") for i in self.bytes_of} if packed else {}
         self.apart: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[str, bytes, bytes]] = {}
+        self.words: dict[str, tuple[str, bytes] | bytes] = {}
+        self.packed = packed
         self._tails()
 
     def _tails(self) -> None:
@@ -113,7 +115,7 @@ class ByteBPE:
         known = self.apart.get((left, right))
         if known is None:
             known = self.apart[left, right] = self._stands(left, right)
-            if len(self.apart) > 2 * CACHED:
+            if len(self.apart) > CACHED // 2:
                 self.apart.clear()
         return known
 
@@ -177,9 +179,11 @@ class ByteBPE:
             ids.reverse()
             self.words[w] = self._entry(ids)
 
-    def _entry(self, ids: list[int]) -> tuple[str, bytes, bytes]:
-        """A word's ids as text, decoded bytes and ids as 32-bit numbers."""
-        return ",".join(map(self.text_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), b"".join(map(self.packed_of.__getitem__, ids))
+    def _entry(self, ids: list[int]) -> tuple[str, bytes] | bytes:
+        """What is kept of a word's ids; see packed."""
+        if self.packed:
+            return b"".join(map(self.packed_of.__getitem__, ids))
+        return ",".join(map(self.text_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
 
     def entries(self, texts: list[str | None]):
         """The cache entries of each text's words, in order."""
@@ -196,16 +200,14 @@ class ByteBPE:
             self.words.clear()
         for s, i in self.added.items():
             self.words[s] = self._entry([i])
-        distinct, again = set(), set(self.added)
+        distinct: set[str] = set()
         for words in cut:
-            own = set(words)
-            again |= own & distinct
-            distinct |= own
+            distinct.update(words)
         new = distinct - self.words.keys()
         self.encode_words(list(new))
         out = [list(map(self.words.__getitem__, words)) for words in cut]
         for w in new:
-            if len(w) > KEPT_BYTES or w not in again:
+            if len(w) > KEPT_BYTES:
                 del self.words[w]
         return out
 
@@ -219,9 +221,16 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> ByteBPE:
+def load(path: str, packed: bool = False) -> ByteBPE:
     """The vocabulary of a file, read once in each worker."""
-    return ByteBPE(path)
+    return ByteBPE(path, packed)
+
+
+def _forget(bpe: ByteBPE) -> None:
+    """Empty the caches at the end of a task: the worker may idle through other stages."""
+    bpe.words.clear()
+    bpe.apart.clear()
+    trim()
 
 
 def _chunks(texts: list, most: int = 4_000_000):
@@ -250,6 +259,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
                     decoded.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        _forget(bpe)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -262,12 +272,13 @@ def encode(docs: DataFrame, path: str, *kept: str) -> DataFrame:
     shape = docs.select(names).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
 
     def batches(it):
-        bpe = load(path)
+        bpe = load(path, packed=True)
         for b in slices(it):
-            packed = [b"".join([g[2] for g in got]) for run in _chunks(b.column(len(names)).to_pylist()) for got in bpe.entries(run)]
+            packed = [b"".join(got) for run in _chunks(b.column(len(names)).to_pylist()) for got in bpe.entries(run)]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(np.diff(ends), pa.int64()), ids], [*names, "n_tokens", "ids"])
+        _forget(bpe)
 
     return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(batches, shape)
 
