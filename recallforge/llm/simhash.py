@@ -80,25 +80,33 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.where(F.expr(f"bit_count(a ^ b) <= {bits}")).distinct()
 
 
-def near_duplicates(docs: DataFrame, bits: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links, itself included) per row."""
-    rows = materialise(with_fingerprints(docs, width, seed), "fingerprints")
+def by_component(rows: DataFrame, linked) -> DataFrame:
+    """doc_id, fp and component_id of rows (doc_id, fp); linked gives the links of the distinct fps."""
     reps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = connected_components(links(reps.select("fp"), bits))
+    roots = connected_components(linked(reps.select("fp")))
     placed = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, bits: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links, itself included) per row."""
+    return by_component(materialise(with_fingerprints(docs, width, seed), "fingerprints"), lambda fps: links(fps, bits))
+
+
+def only_named(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with all its columns, only the rows that found (doc_id, component_id) names components by."""
+    # Null-safe keys as plain columns: the join's partitioning then serves dropDuplicates as well.
+    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
+    kept = found.where("doc_id <=> component_id").select(*[c.alias(k) for k, c in key.items()]).distinct()
+    return docs.withColumns(key).join(kept.hint("shuffle_hash"), [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, bits: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """docs with all its columns, of each component only the row named by component_id.
 
     Rows that repeat a doc_id count as one document and one of them stays; rows without an id stay
     only where their component has no id at all.
     """
-    found = near_duplicates(docs, bits, width, seed)
-    # Null-safe keys as plain columns: the join's partitioning then serves dropDuplicates as well.
-    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
-    kept = found.where("doc_id <=> component_id").select(*[c.alias(k) for k, c in key.items()]).distinct()
-    return docs.withColumns(key).join(kept.hint("shuffle_hash"), [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)
+    return only_named(docs, near_duplicates(docs, bits, width, seed))
