@@ -10,6 +10,9 @@ Template words are numbered, and a k-gram is packed from those numbers, so equal
 words. A k-gram with a word that no template has can match no position and is left out before the
 join; all others are joined.
 
+A template's version numbers tell licenses apart that share all other words, so the main number of each
+("2" of "2.0", as "Version 2" is often written alone) must be among the covered words.
+
 Phrases are templates that count only whole: their places are the base labels. Templates need a
 similarity of `least`.
 
@@ -80,6 +83,12 @@ class Template:
     def k(self) -> int:
         return min(K, len(self.words))
 
+    @property
+    def numbers(self) -> int:
+        """Bits of the words that are the main part of a number."""
+        digit = [w.isdigit() for w in self.words]
+        return sum(1 << i for i, d in enumerate(digit) if d and not (i and digit[i - 1]))
+
 
 def templates(phrases=PHRASES, notices=NOTICES) -> list[Template]:
     out = [Template(tuple(words(t)), label, base) for own, base in ((phrases, True), (notices, False)) for t, label in own]
@@ -125,8 +134,8 @@ def positions(spark: SparkSession, known: list[Template]) -> DataFrame:
 
 
 def _catalogue(spark: SparkSession, known: list[Template]) -> DataFrame:
-    rows = [(n, t.label, t.base, len(t.words), t.k, 0 if t.base else max(1, len(t.words) // 8)) for n, t in enumerate(known)]
-    return spark.createDataFrame([(-1, None, False, 1, 1, 0), *rows], "template int, label string, base boolean, length int, k int, slack int")
+    rows = [(n, t.label, t.base, len(t.words), t.k, 0 if t.base else max(1, len(t.words) // 8), t.numbers) for n, t in enumerate(known)]
+    return spark.createDataFrame([(-1, None, False, 1, 1, 0, 0), *rows], "template int, label string, base boolean, length int, k int, slack int, numbers long")
 
 
 def text_grams(docs: DataFrame, known: list[Template]) -> DataFrame:
@@ -168,10 +177,12 @@ def spans(docs: DataFrame, least: float = LEAST, known: list[Template] | None =
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.col("slack")
     lines = lines.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("cluster", F.sum("new").over(along))
     merged = lines.groupBy("row", "template", "cluster").agg(
-        *[F.max(c).alias(c) for c in ("doc_id", "n_words", "label", "base", "length", "k")],
+        *[F.max(c).alias(c) for c in ("doc_id", "n_words", "label", "base", "length", "k", "numbers")],
         F.bit_or("mask").alias("mask"), F.min("first").alias("start"), F.max("last").alias("last"),
     )
-    covered = F.expr("bit_count(mask | if(k > 1, shiftleft(mask, 1), 0L) | if(k > 2, shiftleft(mask, 2), 0L))")
+    merged = merged.withColumn("mask", F.expr("mask | if(k > 1, shiftleft(mask, 1), 0L) | if(k > 2, shiftleft(mask, 2), 0L)"))
+    merged = merged.where("template < 0 or mask & numbers = numbers")
+    covered = F.bit_count("mask")
     end = F.col("last") + F.col("k")
     similarity = F.when(F.col("template") < 0, 0.0).otherwise(covered / F.greatest(F.col("length").cast("long"), end - F.col("start")))
     out = merged.select("row", "doc_id", "n_words", "label", "base", "start", end.alias("end"), similarity.alias("similarity"))

@@ -57,3 +57,10 @@ def test_spans_give_places(spark):
     docs = spark.createDataFrame([(1, "a b Released under the MIT License c")], "doc_id long, text string")
     got = licenses.spans(docs).where("label is not null").collect()
     assert [(r.label, r.start, r.end, r.similarity) for r in got] == [("mit", 2, 7, 1.0)]
+
+
+def test_versions_tell_licenses_apart(spark):
+    gpl, mpl = "x licensed under the GNU General Public License, version {} y", "x subject to the terms of the Mozilla Public License, v. {} y"
+    texts = [gpl.format(2), gpl.format(3), mpl.format("1.1"), mpl.format("2.0"), "x Licensed under the Apache License, Version 2 y", "x Licensed under the Apache License, Version 1.1 y"]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == ["gpl,gpl-2.0", "gpl,gpl-3.0", "", "mpl-2.0", "apache-2.0", ""]
