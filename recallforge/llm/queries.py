@@ -42,7 +42,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
-    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "near", "telling")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "near", "cosines")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

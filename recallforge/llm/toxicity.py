@@ -1,304 +1,345 @@
-"""Toxicity from nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and word beginnings of 4 to 7 letters, each with its occurrence number up to REPEATS
-("x", "x#2", ...), so that a text that repeats a telling word differs from one that has it once. From
-labelled examples the most telling terms are kept by their log-likelihood ratio; document frequencies
-of the kept terms are counted over all documents. Examples and texts become unit TF-IDF vectors.
-
-The index cuts the examples into blocks; each posting list has its largest weight per block. A text's
-blocks are visited from the highest bound on and a block whose bound can't enter the best k any more
-ends the search, so the k nearest are exact. Neighbours vote with weight 1 / (1 - cosine + EPS), with
-a vote of PRIOR strength for the share of toxic labels. A monotone step function, fitted to the votes
-that each example gets from the others, turns votes into calibrated scores.
-
-Bounds: `examples` labelled rows a class at most, taken by a hash of doc_id (the only sampling here),
-TERMS terms; the model that is sent to the workers has at most 2 * examples sparse vectors. All texts
-are read whole, counted and scored, one by one and without a shuffle.
-
-Defined cases: null and blank texts have no terms and get the score of texts without any; labels with
-null toxic or null doc_id aren't used, of repeated labels the larger one counts; documents without
-labels at all score 0.0; rows are scored one by one, repeated ones alike; extra columns aren't read;
-an empty table gives an empty result.
+r"""Toxicity from nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+
+Terms are the stems of all words of the whole text: a word is a run of letters and digits (ASCII) and other
+characters beyond ASCII in lower case, its stem the first STEM bytes of its UTF-8. Term frequency is spelled out as
+levels: a stem that occurs n times has the terms of levels 1, 2, 4, ... up to n, so its weight grows with the
+logarithm of n and a text that repeats a word differs from one that has it once. A term weighs idf * relevance:
+idf is the stem's, counted over all documents; relevance is 1 + ln(1 + x), x the part of the term's
+log-likelihood ratio (toxic against clean examples, copies of one text counted once) that chance doesn't
+explain, so it is 1 for nearly all terms. No term of a text or an example is left out: one that no example has counts in the
+text's length, with the idf of a stem that one of as many documents as there are examples has. Texts and
+examples are unit vectors of these weights.
+
+The index cuts the examples into blocks; each posting list has its largest weight per block. Terms that
+more than one of DENSE examples have are kept as full columns, as their lists would hold most blocks
+anyway; what they add is computed for all examples at once and enters the blocks' bounds. A text's blocks
+are visited in two runs, those with the highest bounds and then all whose bound can still enter the best
+k, so the k nearest are exact. Neighbours vote with weight 1 / (1 - cosine + EPS),
+times the rate at which their class was sampled, with a vote of PRIOR strength for the share of toxic
+labels. A monotone function, fitted to the votes that each example gets from the others, turns votes into
+calibrated scores; examples count in it by the same rates, so a score means the same at every size.
+
+Bounds: `examples` labelled rows a class at most, taken by a hash of doc_id (the only sampling here); the
+model that is sent to the workers has their vectors and nothing else. All texts are read whole, counted
+and scored, one by one.
+
+Defined cases: null and blank texts have no neighbours and get the calibrated score of the prior alone;
+labels with null toxic or null doc_id aren't used, of repeated labels the larger one counts; of rows that
+repeat a labelled doc_id the one with the largest text is the example; documents without labels of both
+classes all score 0.0; ties of cosine go to the example that stands first in the index; rows are scored one by
+one, repeated ones alike; very long texts are read whole, one at a time; extra columns aren't read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from statistics import NormalDist
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import materialise, prepare, slices
 
-#: Labelled examples of each class at most; terms kept at most, and how often a term must occur.
-EXAMPLES, TERMS, LEAST_DF = 4000, 2000, 3
-#: A term counts as telling if it is LIFT times more frequent in toxic examples and its log-likelihood
-#: ratio is so large that BY_CHANCE of all candidate terms would have it without any meaning.
-LIFT, BY_CHANCE = 4.0, 1.0
-REPEATS = 4
-NEIGHBOURS, BLOCK, EPS, PRIOR = 25, 256, 0.05, 0.5
+#: Labelled examples of each class at most.
+EXAMPLES = 1500
+#: Bytes of a word that count.
+STEM = 6
+#: So many of all terms of the examples would be telling by chance alone, without any meaning.
+BY_CHANCE = 1.0
+NEIGHBOURS, BLOCK, EPS, PRIOR = 25, 128, 0.05, 0.5
+#: A term of more than one in DENSE examples is a full column. Blocks of the first run.
+DENSE, FIRST = 24, 2
+#: Texts that are judged at once.
+TOGETHER = 64
 THRESHOLD = 0.7
 
-_WORD = re.compile(r"\w+")
+#: Bits of a term's number that hold its level.
+LEVELS = 63
+_SEED = 42
+_TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def stems(word: str) -> list[str]:
-    """The word and its beginnings of 4 to 7 letters, where it is longer."""
-    return [word, *[word[:n] + "*" for n in range(4, 8) if len(word) > n]]
+#: Hashes of stems that this process has seen, HASHED at most; a full cache is emptied.
+_hashes: dict[bytes, int] = {}
+HASHED = 200_000
 
 
-def term_counts(text: str | None) -> Counter:
-    """Occurrences of each stem of a text."""
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        for s in stems(w):
-            out[s] += n
-    return out
+def stem_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of the stems, how often each occurs) of a text."""
+    found = Counter([w[:STEM] for w in (text or "").lower().encode().translate(_TABLE).split()])
+    if len(_hashes) > HASHED:
+        _hashes.clear()
+    for new in [w for w in found if w not in _hashes]:
+        _hashes[new] = xxhash.xxh64_intdigest(new, _SEED)
+    stems = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found)).view(np.int64)
+    return stems, np.fromiter(found.values(), np.int64, len(found))
 
 
-def repeated(counts: Counter):
-    for s, n in counts.items():
-        for i in range(1, min(n, REPEATS) + 1):
-            yield s, i
+def terms_of(text: str | None) -> np.ndarray:
+    """The terms of a text as numbers in rising order: a stem's hash, with the level in its lowest bits.
+
+    Level i is reached at 2 ** i occurrences.
+    """
+    stems, counts = stem_counts(text)
+    reached = np.frexp(counts)[1].astype(np.int64)
+    level, _ = _ranges(np.zeros(len(stems), np.int64), reached)
+    return np.sort(np.repeat(stems & ~LEVELS, reached) | level)
 
 
 def _log_ratio(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
-    """Log-likelihood ratio of a of na against b of nb, signed by the side where it is more frequent."""
+    """Log-likelihood ratio of a of na against b of nb; 0 where a isn't the more frequent."""
     def part(x, n, p):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / (n * p)), 0.0)
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(n * p, 1e-12)), 0.0)
 
     p = (a + b) / (na + nb)
     g = 2 * (part(a, na, p) + part(b, nb, p) + part(na - a, na, 1 - p) + part(nb - b, nb, 1 - p))
-    return np.where(a / na > b / nb, g, -g)
+    return np.where(a / na > b / nb, g, 0.0)
 
 
 def telling(candidates: int) -> float:
-    """Least log-likelihood ratio (chi-squared, one degree of freedom) of a telling term."""
+    """The log-likelihood ratio (chi-squared, one degree of freedom) that chance explains."""
     return NormalDist().inv_cdf(1 - min(0.5, BY_CHANCE / max(1, candidates)) / 2) ** 2
 
 
-@dataclass
-class Index:
-    """Unit vectors of the examples as postings, cut into blocks with the largest weight of each."""
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of the ranges start..end one after the other, length of each)."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), n
 
-    ids: np.ndarray
-    labels: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray]]
-    blocks: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
-    bounds: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.n_blocks = len(self.labels) // BLOCK + 1
-        for t, (rows, weights) in self.postings.items():
-            cuts = np.searchsorted(rows, np.arange(self.n_blocks + 1) * BLOCK)
-            own = {i: (rows[a:b] - i * BLOCK, weights[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b}
-            self.blocks[t], self.bounds[t] = own, np.zeros(self.n_blocks)
-            for i, (_, w) in own.items():
-                self.bounds[t][i] = w.max()
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with cosine over 0, by cosine, then place; exact."""
-        have = [(self.blocks[t], w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.blocks]
+
+class Index:
+    """Unit vectors of the examples as posting lists by term, cut into blocks with the largest weight of each.
+
+    columns, rows and weights say which term (a column number) weighs how much in which example.
+    """
+
+    def __init__(self, n: int, n_columns: int, columns: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+        self.n, self.n_blocks = n, n // BLOCK + 1
+        frequent = np.flatnonzero(np.bincount(columns, minlength=n_columns) * DENSE > n)
+        self.dense_of = np.full(n_columns, -1)
+        self.dense_of[frequent] = np.arange(len(frequent))
+        full = self.dense_of[columns] >= 0
+        self.dense = np.zeros((len(frequent), self.n_blocks * BLOCK))
+        self.dense[self.dense_of[columns[full]], rows[full]] = weights[full]
+
+        columns, rows, weights = columns[~full], rows[~full].astype(np.int32), weights[~full]
+        order = np.lexsort((rows, columns))
+        columns, self.rows, self.weights = columns[order], rows[order], weights[order]
+        runs = np.flatnonzero(np.diff(columns * self.n_blocks + self.rows // BLOCK, prepend=-1))  # a term's entries in a block
+        self.run_block, self.run_start = self.rows[runs] // BLOCK, np.append(runs, len(self.rows))
+        self.run_most = np.maximum.reduceat(self.weights, runs) if len(runs) else np.zeros(0)
+        self.term_runs = np.searchsorted(columns[runs], np.arange(n_columns + 1))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None):
+        """(examples, cosines) of the k nearest of each vector with cosine over 0, by cosine, then place; exact.
+
+        but: an example for each vector that isn't its own neighbour.
+        """
+        for at in range(0, len(vectors), TOGETHER):
+            now = vectors[at : at + TOGETHER]
+            frequent = np.zeros((len(now), len(self.dense)))
+            for i, (columns, weights) in enumerate(now):
+                place = self.dense_of[columns]
+                frequent[i, place[place >= 0]] = weights[place >= 0]
+            base = frequent @ self.dense
+            for i, (columns, weights) in enumerate(now):
+                rare = self.dense_of[columns] < 0
+                yield self._best(base[i], columns[rare], weights[rare], k, but[at + i] if but else -1)
+
+    def _best(self, base: np.ndarray, columns: np.ndarray, weights: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        runs, n = _ranges(self.term_runs[columns], self.term_runs[columns + 1])
+        weight, block = np.repeat(weights, n), self.run_block[runs]
+        starts, ends = self.run_start[runs], self.run_start[runs + 1]
+        bound = np.bincount(block, weight * self.run_most[runs], minlength=self.n_blocks) + base.reshape(-1, BLOCK).max(axis=1)
+        order = np.argsort(-bound, kind="stable")
         best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        if not have:
-            return best_rows, best
-        bound = sum(w * self.bounds[t] for t, w in zip(terms.tolist(), weights.tolist()) if t in self.bounds)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) >= k and bound[block] < best[k - 1] - 1e-9:
+        for now in (order[:FIRST], order[FIRST:]):
+            now = now[bound[now] > 0]
+            if len(best) >= k:
+                now = now[bound[now] >= best[k - 1] - 1e-9]
+            if not len(now):
                 break
-            score = np.zeros(BLOCK)
-            for own, w in have:
-                if (part := own.get(block)) is not None:
-                    score[part[0]] += w * part[1]
-            if 0 <= but - block * BLOCK < BLOCK:
-                score[but - block * BLOCK] = 0.0
-            found = np.flatnonzero(score)
-            best_rows, best = np.concatenate([best_rows, block * BLOCK + found]), np.concatenate([best, score[found]])
-            keep = np.lexsort((best_rows, -np.round(best, 12)))[:k]
+            visited = np.zeros(self.n_blocks, bool)
+            visited[now] = True
+            own = np.flatnonzero(visited[block])
+            entries, m = _ranges(starts[own], ends[own])
+            score = base + np.bincount(self.rows[entries], np.repeat(weight[own], m) * self.weights[entries], minlength=len(base))
+            score[~np.repeat(visited, BLOCK)] = 0.0
+            if but >= 0:
+                score[but] = 0.0
+            least = max(np.partition(score, -k)[-k], best[k - 1] if len(best) >= k else 0.0) if len(score) > k else 0.0
+            found = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+            best_rows, best = np.concatenate([best_rows, found]), np.concatenate([best, score[found]])
+            keep = np.lexsort((best_rows, -np.round(best, 9)))[:k]
             best_rows, best = best_rows[keep], best[keep]
         return best_rows, best
 
 
 @dataclass
 class Model:
-    number: dict[tuple[str, int], int]
-    names: list[str]
-    idf: np.ndarray
-    index: Index
+    """terms: those of the examples, in rising order; weights: idf * relevance of each; other: of all other terms."""
+
+    terms: np.ndarray
+    weights: np.ndarray
+    other: float
+    ids: np.ndarray
+    labels: np.ndarray
+    rates: np.ndarray
     share: float
-    empty: float
+    index: Index
     steps: tuple[np.ndarray, np.ndarray]
-    seen: dict[tuple, tuple] = field(default_factory=dict)
-    finder: object = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"seen": {}, "finder": None}
-
-    def counts(self, text: str | None) -> Counter:
-        """Occurrences of the model's stems, which one automaton finds in one pass over the text."""
-        if self.finder is None:
-            self.finder = ahocorasick.Automaton()
-            for s in sorted({s for s, _ in self.number}):
-                bare = s.removesuffix("*")
-                self.finder.add_word(bare, (*self.finder.get(bare, ()), s))
-            self.finder.make_automaton()
-        out: Counter = Counter()
-        low = (text or "").lower()
-        inside = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
-        for last, found in self.finder.iter(low) if len(self.finder) else ():
-            if not inside(last - len(found[0].removesuffix("*"))):
-                longer = inside(last + 1)
-                for s in found:
-                    if s.endswith("*") == longer:
-                        out[s] += 1
-        return out
-
-    def terms(self, text: str | None) -> tuple[int, ...]:
-        return tuple(sorted(i for key in repeated(self.counts(text)) if (i := self.number.get(key)) is not None))
-
-    def weights(self, terms: tuple[int, ...]) -> np.ndarray:
-        w = self.idf[list(terms)]
-        return w / max(1e-12, math.sqrt(float(w @ w)))
+
+    def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(columns, weights) of the terms that examples have; the weights are those of the text's unit vector."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[at] == terms
+        w = self.weights[at[known]]
+        length = math.sqrt(float(w @ w) + (len(terms) - len(w)) * self.other**2)
+        return at[known], w / max(1e-12, length)
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        near = 1.0 / (1.0 - np.minimum(cosines, 1.0) + EPS)
-        return float((near @ self.index.labels[rows] + PRIOR * self.share) / (near.sum() + PRIOR))
-
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, *self.steps))
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        """Score, doc_ids of the nearest examples and telling terms of a text."""
-        terms = self.terms(text)
-        if not terms:
-            return self.empty, [], []
-        if (known := self.seen.get(terms)) is None:
-            rows, cosines = self.index.nearest(np.array(terms), self.weights(terms), NEIGHBOURS)
-            top = sorted(terms, key=lambda t: -self.idf[t])[:5]
-            value = self.calibrated(self.vote(rows, cosines)) if len(rows) else self.empty
-            known = value, self.index.ids[rows[:5]].tolist(), [self.names[t] for t in top]
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            self.seen[terms] = known
-        return known
-
-
-def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: points of a rising step function, smoothed by half a count each way."""
-    blocks: list[list[float]] = []
-    for v, t in sorted(zip(x.tolist(), y.tolist())):
-        blocks.append([v, v, t, 1.0])
-        while len(blocks) > 1 and (blocks[-2][2] + 0.5) / (blocks[-2][3] + 1) >= (blocks[-1][2] + 0.5) / (blocks[-1][3] + 1):
-            b = blocks.pop()
-            a = blocks[-1]
-            blocks[-1] = [a[0], b[1], a[2] + b[2], a[3] + b[3]]
-    xs, ys = [], []
-    for lo, hi, t, n in blocks:
-        xs += [lo, hi + 1e-9]
-        ys += [(t + 0.5) / (n + 1)] * 2
-    return np.array(xs or [0.0]), np.array(ys or [0.0])
+        near = self.rates[rows] / (1.0 - np.minimum(cosines, 1.0) + EPS)
+        return float((near @ self.labels[rows] + PRIOR * self.share) / (near.sum() + PRIOR))
+
+    def judged(self, texts) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Scores of the texts (an Arrow column), and of each the nearest examples (places in the index) with
+        their cosines."""
+        found = list(self.index.nearest([self.vector(terms_of(t.as_py())) for t in texts], NEIGHBOURS))
+        return np.interp([self.vote(*f) for f in found], *self.steps), found
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a rising function from x to the weighted mean of y, by pooling adjacent violators.
+
+    Equal x are one point. Values are drawn half an example towards one half after pooling. The first
+    coordinates rise strictly.
+    """
+    xs, at = np.unique(np.round(x, 12), return_inverse=True)
+    sums = [np.bincount(at, v, minlength=len(xs)) for v in (weight * y, weight, np.ones(len(y)))]
+    pools: list[list[float]] = []
+    for v, t, w, n in zip(xs.tolist(), *(s.tolist() for s in sums)):
+        pools.append([v, v, t, w, n])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            b, a = pools.pop(), pools[-1]
+            pools[-1] = [a[0], b[1], a[2] + b[2], a[3] + b[3], a[4] + b[4]]
+    points = [(v, (t / w * n + 0.5) / (n + 1)) for lo, hi, t, w, n in pools for v in ([lo] if lo == hi else [lo, hi])]
+    if not points:
+        return np.zeros(1), np.zeros(1)
+    return np.array([p[0] for p in points]), np.maximum.accumulate([p[1] for p in points])
 
 
 def _docs(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def sample(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """doc_id and toxic of the labelled rows to learn from: `examples` of each class at most, by hash."""
-    own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+def sample(labels: DataFrame, examples: int = EXAMPLES) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """((doc_id, toxic) of `examples` labelled rows of each class at most, by hash; rows of each class)."""
+    own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    own = materialise(own, "labels")
+    total = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
     pick = lambda v: own.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    return pick(1).unionAll(pick(0))
+    return [(r.doc_id, r.toxic) for r in pick(1).unionAll(pick(0)).collect()], total
+
+
+def frequencies(docs: DataFrame, stems: DataFrame) -> DataFrame:
+    """stem, df: in how many rows of docs each of the stems (numbers without a level, no repeats) occurs."""
+    found = F.split(F.lower(F.coalesce(docs["text"].cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    each = docs.select(F.explode(F.array_distinct(F.transform(found, lambda w: F.substring(w.cast("binary"), 1, STEM)))).alias("stem"))
+    each = each.select(F.xxhash64("stem").bitwiseAND(F.lit(~LEVELS)).alias("stem"))
+    return each.groupBy("stem").agg(F.count("*").alias("df")).join(stems, "stem")
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model | None:
-    """A model from the labels given; frequencies are counted over all docs. None without labels."""
+    """A model from the labels given; frequencies are counted over all docs. None without labels of both classes."""
     spark = prepare(docs.sparkSession)
-    chosen = [(r.doc_id, r.toxic) for r in sample(labels, examples).collect()]
+    chosen, total = sample(labels, examples)
     known = spark.createDataFrame(chosen, "__id long, __toxic int")
-    labelled = materialise(_docs(docs).join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic"), "examples")
-
-    def tally(it):
-        for b in slices(it, 250):  # counts of a slice go out at once, which bounds their number
-            pos, neg, n = Counter(), Counter(), Counter()
-            for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                n[toxic] += 1
-                (pos if toxic else neg).update(repeated(term_counts(text)))
-            keys = [*pos.keys() | neg.keys()]
-            columns = [pa.array([k[0] for k in keys] + [None], pa.string()), pa.array([k[1] for k in keys] + [0], pa.int32()), pa.array([pos[k] for k in keys] + [n[1]], pa.int64()), pa.array([neg[k] for k in keys] + [n[0]], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["stem", "nth", "pos", "neg"])
-
-    tallied = labelled.mapInArrow(tally, "stem string, nth int, pos long, neg long").groupBy("stem", "nth").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    tallied = materialise(tallied.where(f"stem is null or pos + neg >= {LEAST_DF}"), "tallied")
-    totals = tallied.where("stem is null").first()
-    if totals is None or not totals.pos or not totals.neg:
-        return None
-    n_pos, n_neg = float(totals.pos), float(totals.neg)
-    often = F.col("pos") / F.lit(n_pos) >= LIFT * F.col("neg") / F.lit(n_neg)
-    rows = tallied.where("stem is not null").where(often).orderBy(F.desc("pos"), "neg", "stem", "nth").limit(4 * TERMS).collect()
-    g = _log_ratio(np.array([r.pos for r in rows], float), np.array([r.neg for r in rows], float), n_pos, n_neg)
-    least = telling(tallied.count() - 1)
-    best = [i for i in np.argsort(-np.abs(g), kind="stable") if g[i] >= least][:TERMS]
-    number = {(rows[i].stem, rows[i].nth): j for j, i in enumerate(best)}
-    names = [s if n == 1 else f"{s}#{n}" for s, n in number]
-    blank = Model(number, names, np.ones(len(number)), Index(np.zeros(0, np.int64), np.zeros(0), {}), n_pos / (n_pos + n_neg), 0.0, (np.zeros(1), np.zeros(1)))
-
-    def frequencies(it):
-        df, n = np.zeros(len(number), np.int64), 0
-        for b in slices(it):
-            for text in b.column(1).to_pylist():
-                n += 1
-                df[list(blank.terms(text))] += 1
-        have = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(have, -1), pa.int64()), pa.array(np.append(df[have], n), pa.int64())], ["term", "df"])
-
-    counted = {r.term: r.df for r in _docs(docs).mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    idf = np.array([math.log((counted[-1] + 1) / (counted.get(i, 0) + 1)) + 1.0 for i in range(len(number))])
+    labelled = _docs(docs).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    labelled = labelled.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("__toxic").alias("toxic"))
 
     def vectors(it):
         for b in slices(it):
-            terms = [blank.terms(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(terms, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms"])
-
-    found = sorted((r.doc_id, r.toxic, tuple(r.terms)) for r in labelled.mapInArrow(vectors, "doc_id long, toxic int, terms array<bigint>").collect())
-    return _finish(number, names, idf, found)
-
-
-def _finish(number: dict, names: list[str], idf: np.ndarray, found: list[tuple[int, int, tuple[int, ...]]]) -> Model:
-    own = sorted((f for f in found if f[2]), key=lambda f: (f[2], f[0]))  # like examples share blocks
-    empty = [f[1] for f in found if not f[2]]
-    lists: dict[int, tuple[list[int], list[float]]] = {}
-    model = Model(number, names, idf, Index(np.zeros(0, np.int64), np.zeros(0), {}), sum(f[1] for f in found) / max(1, len(found)), (sum(empty) + 0.5) / (len(empty) + 1), (np.zeros(1), np.zeros(1)))
-    for i, (_, _, terms) in enumerate(own):
-        for t, w in zip(terms, model.weights(terms).tolist()):
-            rows, weights = lists.setdefault(t, ([], []))
-            rows.append(i)
-            weights.append(w)
-    postings = {t: (np.array(r), np.array(w)) for t, (r, w) in lists.items()}
-    model.index = Index(np.array([f[0] for f in own], np.int64), np.array([f[1] for f in own], float), postings)
-    votes = [model.vote(*model.index.nearest(np.array(terms), model.weights(terms), NEIGHBOURS, i)) for i, (_, _, terms) in enumerate(own)]
-    model.steps = _isotonic(np.array(votes), np.array([f[1] for f in own], float))
+            found = [terms_of(t.as_py()) for t in b.column(1)]
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), terms], ["doc_id", "toxic", "terms"])
+
+    table = materialise(labelled.mapInArrow(vectors, "doc_id long, toxic int, terms array<bigint>"), "vectors")
+    own = table.toArrow()  # `examples` rows of each class at most
+    toxic = own.column("toxic").to_numpy()
+    if not 0 < toxic.sum() < len(toxic):
+        return None
+    stems = table.select(F.explode("terms").alias("term")).select(F.col("term").bitwiseAND(F.lit(~LEVELS)).alias("stem")).distinct()
+    counted = frequencies(docs, stems).toArrow()
+    model = _model(own, counted.column("stem").to_numpy(), counted.column("df").to_numpy(), docs.count(), total)
+    sent = spark.sparkContext.broadcast((model, {int(i): at for at, i in enumerate(model.ids)}))
+
+    def votes(it):
+        own, place = sent.value
+        for b in it:
+            terms = [t.values.to_numpy() for t in b.column(1)]
+            found = own.index.nearest([own.vector(t) for t in terms], NEIGHBOURS, [place[i] for i in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.vote(*f) for f in found], pa.float64())], ["doc_id", "vote"])
+
+    spread = table.select("doc_id", "terms").repartition(spark.sparkContext.defaultParallelism)
+    by_id = {r.doc_id: r.vote for r in spread.mapInArrow(votes, "doc_id long, vote double").collect()}
+    model.steps = isotonic(np.array([by_id[int(i)] for i in model.ids]), model.labels, model.rates)
     return model
 
 
+def _model(own: pa.Table, stems: np.ndarray, df: np.ndarray, n_docs: int, total: dict[int, int]) -> Model:
+    """The model of the examples (doc_id, toxic, terms), without calibration."""
+    toxic, ids = own.column("toxic").to_numpy().astype(np.int64), own.column("doc_id").to_numpy()
+    lists = own.column("terms").combine_chunks()
+    n, lengths = len(toxic), lists.value_lengths().to_numpy().astype(np.int64)
+    terms, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    rows = np.repeat(np.arange(n), lengths)
+    order = np.argsort(stems)
+    df = df[order][np.searchsorted(stems[order], terms & ~LEVELS)].astype(float)
+
+    # Copies of one text count once in the relevance, else a copied text's own words would look telling.
+    ends = np.cumsum(lengths)
+    single = np.zeros(n, bool)
+    single[list({columns[e - m : e].tobytes(): i for i, (e, m) in enumerate(zip(ends, lengths))}.values())] = True
+    by_class = [np.bincount(columns[(single & (toxic == v))[rows]], minlength=len(terms)).astype(float) for v in (1, 0)]
+    ratio = _log_ratio(*by_class, *[max(1.0, float((single & (toxic == v)).sum())) for v in (1, 0)])
+    weights = np.log((n_docs + 1.0) / (df + 0.5)) * (1.0 + np.log1p(np.maximum(0.0, ratio - telling(len(terms)))))
+
+    rates = np.array([total.get(v, 0) for v in (0, 1)])[toxic] / np.bincount(toxic, minlength=2)[toxic]
+    share = float(rates @ toxic / rates.sum())
+    w = weights[columns]
+    w = w / np.maximum(1e-12, np.sqrt(np.bincount(rows, w * w, minlength=n)))[rows]
+
+    # Examples with the same heaviest term stand together, which makes the blocks' bounds sharp.
+    heaviest = np.full(n, -1)
+    by_weight = np.argsort(w, kind="stable")
+    heaviest[rows[by_weight]] = columns[by_weight]
+    placed = np.lexsort((ids, heaviest))
+    place = np.empty(n, np.int64)
+    place[placed] = np.arange(n)
+    other = math.log((n_docs + 1.0) / (n_docs / n + 0.5))
+    index = Index(n, len(terms), columns, place[rows], w)
+    return Model(terms, weights, other, ids[placed], toxic[placed].astype(float), (rates / rates.mean())[placed], share, index, (np.zeros(1), np.zeros(1)))
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score, near (doc_ids of the nearest examples), telling (terms) of each row of docs."""
-    shape = "doc_id long, score double, near array<bigint>, telling array<string>"
+    """doc_id, score, near (doc_ids of the nearest examples) and cosines (theirs) of each row of docs."""
+    shape = "doc_id long, score double, near array<bigint>, cosines array<double>"
     if model is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("near"), F.array().cast("array<string>").alias("telling"))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("near"), F.array().cast("array<double>").alias("cosines"))
     sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def batches(it):
         own = sent.value
         for b in slices(it):
-            found = [own.score(t) for t in b.column(1).to_pylist()]
-            columns = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "score", "near", "telling"])
+            scores, found = own.judged(b.column(1))
+            near = [pa.array([own.ids[rows] for rows, _ in found], pa.list_(pa.int64())), pa.array([cosines for _, cosines in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), *near], ["doc_id", "score", "near", "cosines"])
 
     return _docs(docs).mapInArrow(batches, shape)
 
@@ -312,6 +353,6 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
     def batches(it):
         own = sent.value
         for b in slices(it):
-            yield b.filter(pa.array([own.score(t)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(own.judged(b.column(at))[0] < threshold, pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)
