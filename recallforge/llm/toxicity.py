@@ -1,7 +1,7 @@
 r"""Toxicity from nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are the stems of all words of the whole text: a word is a run of letters and digits (ASCII) and other
-characters beyond ASCII in lower case, its stem the first STEM bytes of its UTF-8. Term frequency is spelled out as
+characters beyond ASCII, A-Z in lower case, its stem the first STEM bytes of its UTF-8. Term frequency is spelled out as
 levels: a stem that occurs n times has the terms of levels 1, 2, 4, ... up to n, so its weight grows with the
 logarithm of n and a text that repeats a word differs from one that has it once. A term weighs idf * relevance:
 idf is the stem's, counted over all documents; relevance is 1 + ln(1 + x), x the part of the term's
@@ -34,12 +34,12 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -61,34 +61,41 @@ THRESHOLD = 0.7
 #: Bits of a term's number that hold its level.
 LEVELS = 63
 _SEED = 42
-_TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-#: Hashes of stems that this process has seen, HASHED at most; a full cache is emptied.
-_hashes: dict[bytes, int] = {}
-HASHED = 200_000
-
-
-def stem_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(XXH64 of the stems, how often each occurs) of a text."""
-    found = Counter([w[:STEM] for w in (text or "").lower().encode().translate(_TABLE).split()])
-    if len(_hashes) > HASHED:
-        _hashes.clear()
-    for new in [w for w in found if w not in _hashes]:
-        _hashes[new] = xxhash.xxh64_intdigest(new, _SEED)
-    stems = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found)).view(np.int64)
-    return stems, np.fromiter(found.values(), np.int64, len(found))
-
-
-def terms_of(text: str | None) -> np.ndarray:
-    """The terms of a text as numbers in rising order: a stem's hash, with the level in its lowest bits.
-
-    Level i is reached at 2 ** i occurrences.
-    """
-    stems, counts = stem_counts(text)
-    reached = np.frexp(counts)[1].astype(np.int64)
-    level, _ = _ranges(np.zeros(len(stems), np.int64), reached)
-    return np.sort(np.repeat(stems & ~LEVELS, reached) | level)
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def stem_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(XXH64 of all distinct stems, and of each text and stem in it: place of the text, of the stem, how often)."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    plain = b"" if data is None else data[int(at[0]) : int(at[-1])].to_pybytes().translate(_TABLE)
+    plain = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(plain)])
+    words = pc.ascii_split_whitespace(plain)
+    coded = pc.binary_slice(words.flatten().cast(pa.large_binary()), 0, STEM).dictionary_encode()
+    stems = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in stems), np.uint64, len(stems)).view(np.int64) & ~LEVELS
+    place = coded.indices.to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    real = np.array([w != b"" for w in stems], bool)[place]
+    both, counts = np.unique(text[real] * max(1, len(stems)) + place[real], return_counts=True)
+    return hashes, both // max(1, len(stems)), both % max(1, len(stems)), counts
+
+
+def reached(counts: np.ndarray) -> np.ndarray:
+    """How many levels a stem of so many occurrences has; level i is reached at 2 ** i of them."""
+    return np.frexp(counts)[1].astype(np.int64)
+
+
+def terms_of(texts: pa.Array) -> pa.ListArray:
+    """The terms of each text as numbers in rising order: a stem's hash, with the level in its lowest bits."""
+    hashes, text, place, counts = stem_counts(texts)
+    n = reached(counts)
+    level, _ = _ranges(np.zeros(len(n), np.int64), n)
+    terms, text = np.repeat(hashes[place], n) | level, np.repeat(text, n)
+    order = np.lexsort((terms, text))
+    ends = np.searchsorted(text[order], np.arange(len(texts) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms[order], pa.int64()))
 
 
 def _log_ratio(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
@@ -124,8 +131,7 @@ class Index:
         self.dense_of = np.full(n_columns, -1)
         self.dense_of[frequent] = np.arange(len(frequent))
         full = self.dense_of[columns] >= 0
-        self.dense = np.zeros((len(frequent), self.n_blocks * BLOCK))
-        self.dense[self.dense_of[columns[full]], rows[full]] = weights[full]
+        self.full, self.dense = (self.dense_of[columns[full]], rows[full], weights[full]), None
 
         columns, rows, weights = columns[~full], rows[~full].astype(np.int32), weights[~full]
         order = np.lexsort((rows, columns))
@@ -135,11 +141,17 @@ class Index:
         self.run_most = np.maximum.reduceat(self.weights, runs) if len(runs) else np.zeros(0)
         self.term_runs = np.searchsorted(columns[runs], np.arange(n_columns + 1))
 
+    def __getstate__(self):
+        return self.__dict__ | {"dense": None}  # made again where it is used: it is mostly zeros
+
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None):
         """(examples, cosines) of the k nearest of each vector with cosine over 0, by cosine, then place; exact.
 
         but: an example for each vector that isn't its own neighbour.
         """
+        if self.dense is None:
+            self.dense = np.zeros((int(self.dense_of.max(initial=-1)) + 1, self.n_blocks * BLOCK))
+            self.dense[self.full[:2]] = self.full[2]
         for at in range(0, len(vectors), TOGETHER):
             now = vectors[at : at + TOGETHER]
             frequent = np.zeros((len(now), len(self.dense)))
@@ -194,13 +206,22 @@ class Model:
     index: Index
     steps: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(columns, weights) of the terms that examples have; the weights are those of the text's unit vector."""
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        known = self.terms[at] == terms
-        w = self.weights[at[known]]
-        length = math.sqrt(float(w @ w) + (len(terms) - len(w)) * self.other**2)
-        return at[known], w / max(1e-12, length)
+    def _lengths(self, text: np.ndarray, columns: np.ndarray, others: np.ndarray) -> np.ndarray:
+        w = self.weights[columns]
+        return np.maximum(1e-12, np.sqrt(np.bincount(text, w * w, minlength=len(others)) + others * self.other**2))
+
+    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(columns, weights) of the terms of each text that examples have; the weights are those of its unit vector."""
+        hashes, text, place, counts = stem_counts(texts)
+        first = np.searchsorted(self.terms, hashes)  # a stem's levels stand together, without gaps
+        known = np.minimum((np.searchsorted(self.terms, hashes | LEVELS, "right") - first)[place], n := reached(counts))
+        columns, _ = _ranges(first[place], first[place] + known)
+        both = np.sort(np.repeat(text, known) * len(self.terms) + columns)
+        text_of, columns = both // len(self.terms), both % len(self.terms)
+        lengths = self._lengths(text_of, columns, np.bincount(text, n - known, minlength=len(texts)))
+        weights = self.weights[columns] / lengths[text_of]
+        ends = np.searchsorted(text_of, np.arange(len(texts) + 1))
+        return [(columns[i:j], weights[i:j]) for i, j in zip(ends[:-1], ends[1:])]
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         near = self.rates[rows] / (1.0 - np.minimum(cosines, 1.0) + EPS)
@@ -209,7 +230,7 @@ class Model:
     def judged(self, texts) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Scores of the texts (an Arrow column), and of each the nearest examples (places in the index) with
         their cosines."""
-        found = list(self.index.nearest([self.vector(terms_of(t.as_py())) for t in texts], NEIGHBOURS))
+        found = list(self.index.nearest(self.vectors(texts), NEIGHBOURS))
         return np.interp([self.vote(*f) for f in found], *self.steps), found
 
 
@@ -246,12 +267,28 @@ def sample(labels: DataFrame, examples: int = EXAMPLES) -> tuple[list[tuple[int,
     return [(r.doc_id, r.toxic) for r in pick(1).unionAll(pick(0)).collect()], total
 
 
-def frequencies(docs: DataFrame, stems: DataFrame) -> DataFrame:
-    """stem, df: in how many rows of docs each of the stems (numbers without a level, no repeats) occurs."""
-    found = F.split(F.lower(F.coalesce(docs["text"].cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    each = docs.select(F.explode(F.array_distinct(F.transform(found, lambda w: F.substring(w.cast("binary"), 1, STEM)))).alias("stem"))
-    each = each.select(F.xxhash64("stem").bitwiseAND(F.lit(~LEVELS)).alias("stem"))
-    return each.groupBy("stem").agg(F.count("*").alias("df")).join(stems, "stem")
+def frequencies(docs: DataFrame, stems: np.ndarray) -> np.ndarray:
+    """In how many rows of docs each of the stems (numbers without a level, in rising order) occurs, and how
+    many rows there are. A task counts into one array, so what is shuffled is one row a task and stem."""
+    sent = prepare(docs.sparkSession).sparkContext.broadcast(stems)
+
+    def tally(it):
+        own, n = np.zeros(len(sent.value), np.int64), 0
+        for b in slices(it):
+            hashes, _, place, _ = stem_counts(b.column(0))
+            at = np.minimum(np.searchsorted(sent.value, hashes), len(own) - 1)
+            known = sent.value[at] == hashes
+            np.add.at(own, at[known], np.bincount(place, minlength=len(hashes))[known])
+            n += b.num_rows
+        have = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(have, -1), pa.int64()), pa.array(np.append(own[have], n), pa.int64())], ["stem", "df"])
+
+    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tally, "stem long, df long")
+    counted = each.groupBy("stem").agg(F.sum("df").alias("df")).toArrow()
+    out = np.zeros(len(stems) + 1, np.int64)
+    out[counted.column("stem").to_numpy()] = counted.column("df").to_numpy()
+    sent.destroy()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model | None:
@@ -264,43 +301,42 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
 
     def vectors(it):
         for b in slices(it):
-            found = [terms_of(t.as_py()) for t in b.column(1)]
-            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            terms = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), terms], ["doc_id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), terms_of(b.column(1))], ["doc_id", "toxic", "terms"])
 
     table = materialise(labelled.mapInArrow(vectors, "doc_id long, toxic int, terms array<bigint>"), "vectors")
     own = table.toArrow()  # `examples` rows of each class at most
     toxic = own.column("toxic").to_numpy()
     if not 0 < toxic.sum() < len(toxic):
         return None
-    stems = table.select(F.explode("terms").alias("term")).select(F.col("term").bitwiseAND(F.lit(~LEVELS)).alias("stem")).distinct()
-    counted = frequencies(docs, stems).toArrow()
-    model = _model(own, counted.column("stem").to_numpy(), counted.column("df").to_numpy(), docs.count(), total)
+    stems = np.unique(own.column("terms").combine_chunks().flatten().to_numpy() & ~LEVELS)
+    if not len(stems):
+        return None
+    model = _model(own, stems, frequencies(docs, stems), total)
     sent = spark.sparkContext.broadcast((model, {int(i): at for at, i in enumerate(model.ids)}))
 
     def votes(it):
         own, place = sent.value
         for b in it:
-            terms = [t.values.to_numpy() for t in b.column(1)]
-            found = own.index.nearest([own.vector(t) for t in terms], NEIGHBOURS, [place[i] for i in b.column(0).to_pylist()])
+            columns = [np.searchsorted(own.terms, t.values.to_numpy()) for t in b.column(1)]
+            lengths = [own._lengths(np.zeros(len(c), np.int64), c, np.zeros(1))[0] for c in columns]
+            found = own.index.nearest([(c, own.weights[c] / n) for c, n in zip(columns, lengths)], NEIGHBOURS, [place[i] for i in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.vote(*f) for f in found], pa.float64())], ["doc_id", "vote"])
 
     spread = table.select("doc_id", "terms").repartition(spark.sparkContext.defaultParallelism)
     by_id = {r.doc_id: r.vote for r in spread.mapInArrow(votes, "doc_id long, vote double").collect()}
+    sent.destroy()
     model.steps = isotonic(np.array([by_id[int(i)] for i in model.ids]), model.labels, model.rates)
     return model
 
 
-def _model(own: pa.Table, stems: np.ndarray, df: np.ndarray, n_docs: int, total: dict[int, int]) -> Model:
+def _model(own: pa.Table, stems: np.ndarray, df: np.ndarray, total: dict[int, int]) -> Model:
     """The model of the examples (doc_id, toxic, terms), without calibration."""
     toxic, ids = own.column("toxic").to_numpy().astype(np.int64), own.column("doc_id").to_numpy()
     lists = own.column("terms").combine_chunks()
     n, lengths = len(toxic), lists.value_lengths().to_numpy().astype(np.int64)
     terms, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     rows = np.repeat(np.arange(n), lengths)
-    order = np.argsort(stems)
-    df = df[order][np.searchsorted(stems[order], terms & ~LEVELS)].astype(float)
+    n_docs, df = int(df[-1]), df[np.searchsorted(stems, terms & ~LEVELS)].astype(float)
 
     # Copies of one text count once in the relevance, else a copied text's own words would look telling.
     ends = np.cumsum(lengths)

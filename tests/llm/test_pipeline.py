@@ -1,9 +1,10 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from recallforge.llm import bpe, mixing, queries, toxicity
-from . import test_exact_dedup, test_simhash
+from . import test_exact_dedup, test_near_dedup
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -12,9 +13,10 @@ def test_run_equals_the_stages_by_brute_force(spark, data):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     table = spark.read.parquet(f"{data}/documents.parquet")
     model = queries.toxicity_model(table, spark.read.parquet(f"{data}/labels.parquet"))
-    clean = [d for d, r in docs.items() if model is None or model.score(r.text)[0] < toxicity.THRESHOLD]
+    scores = model.judged(pa.array([r.text for r in docs.values()], pa.string()))[0]
+    clean = [d for d, score in zip(docs, scores) if score < toxicity.THRESHOLD]
     single = [d for d, _, _, kept, _ in test_exact_dedup.brute([(d, docs[d].text) for d in clean]) if kept]
-    apart = sorted({c for _, _, c in test_simhash.brute([(d, docs[d].text) for d in single])})
+    apart = test_near_dedup.brute([(d, docs[d].text) for d in single])
     left = spark.createDataFrame([docs[d] for d in apart], table.schema)
     copies = {r.doc_id: r.copies for r in mixing.assign(left).collect() if r.copies}
     got = corpus_pipeline.run(spark, data).collect()

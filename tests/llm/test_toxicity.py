@@ -8,6 +8,7 @@ import pytest
 from recallforge.llm import queries, toxicity
 from . import odd
 
+LOWER = {i: i + 32 for i in range(65, 91)}
 BAD = ["blorp", "snarg", "quibdis"]
 
 
@@ -35,7 +36,7 @@ def fitted(spark):
 
 def brute_terms(text):
     """{(stem, level)} of a text, by plain string handling."""
-    cut = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split()
+    cut = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").translate(LOWER)).split()
     counts = Counter(w.encode()[: toxicity.STEM] for w in cut)
     return {(s, i) for s, n in counts.items() for i in range(n.bit_length())}
 
