@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from recallforge.llm import sharding
+from recallforge.llm import queries, sharding
 from . import odd
 
 
@@ -49,4 +49,30 @@ def test_write(spark, tmp_path):
     df = odd.frame(spark)
     path = sharding.write(df, f"file://{tmp_path}/out", limit=100_000)
     back = spark.read.parquet(path)
-    assert back.count() == len(odd.ROWS) and back.select("shard").distinct().count() > 1
+    assert back.count() == len(odd.ROWS) and back.select("shard_").distinct().count() > 1
+    assert set(df.columns) < set(back.columns) and back.where("shard = 's'").count() == len(odd.ROWS)
+
+
+def test_write_splits_a_hot_key_and_keeps_each_row_once(spark, tmp_path):
+    rows = [(1, "x" * 100, i % 3) for i in range(400)] + [(None, "z" * 50, 7)] * 60 + [(i, "y" * 100, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more int").repartition(3)
+    back = spark.read.parquet(sharding.write(df, f"file://{tmp_path}/out", limit=5000)).collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.more) for r in back))) == sorted(map(str, rows))
+    size = defaultdict(int)
+    for r in back:
+        size[r.shard] += len(r.text)
+    assert max(size.values()) <= 5000
+
+
+def test_shards_dont_depend_on_the_layout(spark):
+    rows = [(1, "x" * 100)] * 300 + [(1, f"{i}" * 30) for i in range(100)] + [(i, "y" * 100) for i in range(50)]
+    found = []
+    for n in (1, 5):
+        df = spark.createDataFrame(rows[::-1] if n > 1 else rows, "doc_id long, text string").repartition(n)
+        found.append(sorted((r.doc_id, r.shard, r.bytes, r.shard_docs) for r in sharding.assign(df, 5000).collect()))
+    assert found[0] == found[1]
+
+
+def test_empty_table_through_the_query(spark, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *a: odd.frame(spark, []))
+    assert queries.op6_sharding(spark, "").count() == 0
