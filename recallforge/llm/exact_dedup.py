@@ -1,29 +1,35 @@
 r"""Exact duplicates through an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Every text is normalised (white space `[\x20\x09-\x0D]` deleted) and hashed; the first `max_bits`
-   bits of its 64-bit hash address a bucket, the whole hash is the key and the chain of a key holds
-   the distinct byte strings that have it.
-2. Copies are folded by an aggregation whose grouping key is the key *and the bytes themselves*, so
-   collisions end in separate chain entries by comparing bytes. Partial aggregation folds copies
-   before the shuffle: a text that a third of all rows share leaves each task as one entry.
-3. The directory starts with one bucket; buckets with more than `bucket_entries` entries split on the
-   next bit (the directory doubles) until none is overfull or `max_bits` is reached. Its size is at
-   most 2 ** max_bits rows whatever the input, which is why it may be broadcast.
+1. Every text is normalised (white space `[\x20\x09-\x0D]` deleted) and hashed to a 64-bit key. A narrow table
+   holds each row's key, digest, length and rank, but no text.
+2. The directory is made of the distinct keys: it starts with one bucket; buckets with more than
+   `bucket_entries` keys split on the next bit (the directory doubles) until none is overfull. Where keys are
+   so many that the directory would exceed DIRECTORY buckets, buckets hold proportionally more, so the
+   directory is small enough to broadcast at every size.
+3. Texts are routed through the directory to their bucket and folded there into the entries of a key's chain: one
+   entry for each distinct byte string, told apart by comparing the bytes, so collisions of the hash
+   end in separate entries. Partial aggregation folds copies before the shuffle: a text that a third of all
+   rows share leaves each task once.
 4. The entries, without texts, go to shared files in the order of bucket and key; owner tasks each
-   hold a range of keys. Rows look their entry up by key, digest and length. That join is skewed by
-   hot texts but carries narrow rows only, and Spark splits its skewed partitions.
+   hold a range of buckets. Rows are routed through the same directory and look their entry up in their
+   bucket, by key and then along the chain by digest and length. That join is skewed by hot texts but
+   carries narrow rows only, and Spark splits its skewed partitions.
 
 Which row stays: of equal texts the one with the most code points in the original text, then the
 smallest doc_id (null last). Defined cases: null text counts as empty and all blank texts are equal;
-of rows that repeat doc_id and text exactly one is kept; extra columns are not read; an empty table
-gives an empty result.
+of rows that repeat doc_id and text exactly one is kept; very long texts are compared whole; extra columns
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import BLANKS, materialise
+from .sharding import directory
+
+#: Keys of a bucket at most, and buckets from which on they grow with the number of keys.
+BUCKET_ENTRIES, DIRECTORY = 512, 1 << 15
 
 #: 2 ** 63 and 2 ** 65 as SQL decimals: an id is stored as 2 ** 63 - id, and below points * 2 ** 65.
 _TOP, _STEP = "cast(9223372036854775808 as decimal(38,0))", "cast(36893488147419103232 as decimal(20,0))"
@@ -43,55 +49,66 @@ def _ranked_id(rank: str) -> Column:
     return F.expr(f"if({rank} % {_STEP} = 0, null, cast({_TOP} - {rank} % {_STEP} as bigint))")
 
 
+def hashed(norm: Column) -> Column:
+    """The key of a normalised text."""
+    return F.xxhash64(norm)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, norm (normalised text), key (64-bit hash), digest (SHA-256), points, of each row."""
+    """doc_id, norm (normalised text), key (64-bit hash) and points of each row."""
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), normalised(docs["text"]).alias("norm"), F.char_length(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("points"))
-    return text.select("doc_id", "norm", F.xxhash64("norm").alias("key"), "points")
+    return text.select("doc_id", "norm", hashed(F.col("norm")).alias("key"), "points")
 
 
-def directory(keys: DataFrame, bucket_entries: int, max_bits: int) -> DataFrame:
-    """prefix (max_bits bits), bucket (its leading bits) and depth. keys has a column key.
+def build_directory(keys: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """depth, code and entries of every bucket. keys has a column key without repeats."""
+    most = max(bucket_entries, -(-keys.count() // DIRECTORY))
+    found = directory(keys.select(F.col("key").alias("h"), F.lit(1).alias("bytes")), most, bits=64)
+    return materialise(found.select("depth", "code", F.col("docs").alias("entries")), "directory")
 
-    A prefix's bucket is the shortest leading run of its bits that no more than bucket_entries
-    entries share. The histogram and the result have at most 2 ** max_bits rows.
-    """
-    hist = keys.groupBy(F.shiftrightunsigned("key", 64 - max_bits).alias("prefix")).agg(F.count("*").alias("n"))
-    levels = hist.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(max_bits))).alias("depth"))
-    cut = F.expr(f"shiftright(prefix, {max_bits} - depth)")
-    sized = levels.groupBy("depth", cut.alias("bucket")).agg(F.sum("n").alias("entries"))
-    fits = sized.where((F.col("entries") <= bucket_entries) | (F.col("depth") == max_bits))
-    fits = F.broadcast(fits.select("depth", "bucket"))  # at most 2 ** (max_bits + 1) rows
-    each = levels.select("prefix", "depth", cut.alias("bucket")).join(fits, ["depth", "bucket"])
-    first = each.groupBy("prefix").agg(F.min("depth").alias("depth"))
-    return first.select("prefix", "depth", cut.alias("bucket"))
 
+def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows with bucket, the smallest number (as the bits of a long) that the bucket of their key holds; rows
+    whose key has no bucket have null. One broadcast of a part of the directory for each depth in it."""
+    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # 65 numbers at most
+    for d in depths:
+        code = F.shiftrightunsigned("key", 64 - d) if d else F.lit(0).cast("long")
+        part = buckets.where(F.col("depth") == d).select(F.col("code").alias(f"code{d}"), F.shiftleft("code", 64 - d if d else 0).alias(f"bucket{d}"))
+        rows = rows.join(F.broadcast(part), code == F.col(f"code{d}"), "left").drop(f"code{d}")
+    found = F.coalesce(*[F.col(f"bucket{d}") for d in depths]) if depths else F.lit(None).cast("long")
+    return rows.withColumn("bucket", found).drop(*[f"bucket{d}" for d in depths])
 
-def build_index(rows: DataFrame, bucket_entries: int = 1_000_000, max_bits: int = 16) -> DataFrame:
-    """The index on shared files: bucket, depth, key, digest, group_size, best; one entry per distinct text."""
-    chains = rows.groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank()).alias("best"))
-    entries = materialise(chains.select("key", F.sha2("norm", 256).alias("digest"), F.octet_length("norm").alias("size"), "group_size", "best"), "entries")
-    found = directory(entries, bucket_entries, max_bits)
-    placed = entries.join(F.broadcast(found), F.shiftrightunsigned(entries["key"], 64 - max_bits) == found["prefix"])
-    return materialise(placed.select("bucket", "depth", "key", "digest", "size", "group_size", "best").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
 
+def build_index(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The index on shared files: bucket, key, digest, size, group_size, best; one entry per distinct text of
+    rows (doc_id, norm, key, points), in the order of bucket and key."""
+    chains = routed(rows, buckets).groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), F.max(_rank()).alias("best"))
+    entries = materialise(chains.select("bucket", "key", F.sha2("norm", 256).alias("digest"), F.octet_length("norm").alias("size"), "group_size", "best"), "entries")
+    return materialise(entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
 
-def duplicates(docs: DataFrame, bucket_entries: int = 1_000_000, max_bits: int = 16) -> DataFrame:
+
+def duplicates(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, points of each row of docs."""
     rows = keyed(docs)
-    index = build_index(rows, bucket_entries, max_bits)
-    same = Window.partitionBy("doc_id", "key", "digest").orderBy(F.desc("points"))
-    mine = rows.select("doc_id", "key", F.sha2("norm", 256).alias("digest"), F.octet_length("norm").alias("size"), "points")
-    mine = mine.select("*", F.row_number().over(same).alias("copy"))
-    entry = index.select("key", "digest", "size", "group_size", "best")
-    found = mine.join(entry, ["key", "digest", "size"])
-    stays = (F.col("copy") == 1) & (_rank() == F.col("best"))
-    return found.select("doc_id", _ranked_id("best").alias("keep_id"), "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256"), "points")
-
-
-def drop_copies(docs: DataFrame, bucket_entries: int = 1_000_000, max_bits: int = 16) -> DataFrame:
+    narrow = rows.select("doc_id", "key", F.sha2("norm", 256).alias("digest"), F.octet_length("norm").alias("size"), "points", F.monotonically_increasing_id().alias("place"))
+    narrow = materialise(narrow, "narrow")
+    buckets = build_directory(narrow.select("key").distinct(), bucket_entries)
+    index = build_index(rows, buckets)
+    entry = index.select("bucket", "key", "digest", "size", "group_size", "best")
+    found = routed(narrow, buckets).join(entry, ["bucket", "key", "digest", "size"])
+    # Rows that repeat doc_id and text are alike in rank; of those the one that stands first stays.
+    found = materialise(found, "found")
+    first = found.where(_rank() == F.col("best")).groupBy("key", "digest", "size").agg(F.min("place").alias("first"))
+    out = found.join(first, ["key", "digest", "size"])
+    return out.select("doc_id", _ranked_id("best").alias("keep_id"), "group_size", (F.col("place") == F.col("first")).alias("kept"), F.col("digest").alias("text_sha256"), "points")
+
+
+def drop_copies(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """docs with all its columns, of equal texts only the row that stays."""
-    # Null-safe keys as plain columns: the join's partitioning then serves dropDuplicates as well.
-    own = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
-    kept = duplicates(docs, bucket_entries, max_bits).where("kept").select(*[c.alias(k) for k, c in own.items()], F.col("text_sha256").alias("__sha"), F.col("points").alias("__points"))
-    key = own | {"__sha": F.sha2(normalised(docs["text"]), 256), "__points": F.char_length(F.coalesce(docs["text"].cast("string"), F.lit("")))}
-    return docs.withColumns(key).join(kept.hint("shuffle_hash"), [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)
+    # Null-safe keys as plain columns: the join's partitioning then serves dropDuplicates as well. The row itself
+    # is one column, so that no name of it clashes.
+    key = ["id", "none", "sha", "points"]
+    kept = duplicates(docs, bucket_entries).where("kept").select(F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.col("text_sha256").alias("sha"), "points")
+    points = F.char_length(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"), docs["doc_id"].isNull().alias("none"), F.sha2(normalised(docs["text"]), 256).alias("sha"), points.alias("points"))
+    return rows.join(kept.hint("shuffle_hash"), key, "left_semi").dropDuplicates(key).select("own.*")

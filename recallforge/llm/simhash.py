@@ -97,10 +97,12 @@ def near_duplicates(docs: DataFrame, bits: int = 2, width: int = 3, seed: int =
 
 def only_named(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with all its columns, only the rows that found (doc_id, component_id) names components by."""
-    # Null-safe keys as plain columns: the join's partitioning then serves dropDuplicates as well.
-    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
-    kept = found.where("doc_id <=> component_id").select(*[c.alias(k) for k, c in key.items()]).distinct()
-    return docs.withColumns(key).join(kept.hint("shuffle_hash"), [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)
+    # Null-safe keys as plain columns: the join's partitioning then serves dropDuplicates as well. The row itself
+    # is one column, so that no name of it clashes.
+    key = {"id": lambda c: F.coalesce(c.cast("long"), F.lit(0)), "none": lambda c: c.isNull()}
+    kept = found.where("doc_id <=> component_id").select(*[f(F.col("doc_id")).alias(k) for k, f in key.items()]).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), *[f(docs["doc_id"]).alias(k) for k, f in key.items()])
+    return rows.join(kept.hint("shuffle_hash"), [*key], "left_semi").dropDuplicates([*key]).select("own.*")
 
 
 def keep_one(docs: DataFrame, bits: int = 2, width: int = 3, seed: int = 42) -> DataFrame:

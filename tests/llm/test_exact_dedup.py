@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from recallforge.llm import exact_dedup, queries
 from . import odd
 
@@ -49,14 +51,44 @@ def test_drop_copies_keeps_whole_rows(spark):
 
 def test_directory_splits_only_overfull_buckets(spark):
     keys = spark.range(2000).selectExpr("xxhash64(id) AS key")
-    found = exact_dedup.directory(keys, 100, 8).collect()
-    counts = defaultdict(int)
-    for r in keys.collect():
-        counts[(r.key % 2**64) >> 56] += 1
-    sizes, depth = defaultdict(int), {}
+    own = [r.key % 2**64 for r in keys.collect()]
+    found = exact_dedup.build_directory(keys, 100).collect()
+    assert sum(r.entries for r in found) == 2000 and min(r.depth for r in found) > 0
     for r in found:
-        sizes[(r.depth, r.bucket)] += counts[r.prefix]
-        depth[r.prefix] = r.depth
-    assert all(n <= 100 for n in sizes.values()) and sum(sizes.values()) == 2000
-    for d, b in sizes:  # the bucket it was split from was overfull
-        assert d == 0 or sum(n for p, n in counts.items() if p >> (8 - d + 1) == b >> 1) > 100
+        inside = lambda d, c: sum(k >> (64 - d) == c for k in own)
+        assert inside(r.depth, r.code) == r.entries <= 100
+        assert inside(r.depth - 1, r.code >> 1) > 100  # the bucket it was split from was overfull
+
+
+def test_directory_stays_small(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "DIRECTORY", 8)
+    keys = spark.range(3000).selectExpr("xxhash64(id) AS key")
+    assert 8 <= exact_dedup.build_directory(keys, 1).count() <= 32
+
+
+def test_query_goes_through_split_buckets(spark, data, monkeypatch):
+    """With small buckets the result is the same; without the directory's buckets there is none."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    monkeypatch.setattr(exact_dedup.duplicates, "__defaults__", (4,))
+    made = []
+    build = exact_dedup.build_directory
+    monkeypatch.setattr(exact_dedup, "build_directory", lambda *a: made.append(build(*a)) or made[-1])
+    assert got(queries.op7_exact_dedup(spark, data)) == brute(rows)
+    assert made[0].agg({"depth": "min"}).first()[0] > 2
+    monkeypatch.setattr(exact_dedup, "build_directory", lambda *a: build(*a).where("code % 2 = 0"))
+    assert 0 < queries.op7_exact_dedup(spark, data).count() < len(rows)
+
+
+def test_colliding_hashes_are_told_apart(spark, monkeypatch):
+    rows = [(i, f"{i % 7} x") for i in range(40)] + [(50, "7x"), (51, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hashed in (lambda norm: F.lit(5).cast("long"), lambda norm: F.shiftleft(F.length(norm).cast("long"), 62)):
+        monkeypatch.setattr(exact_dedup, "hashed", hashed)
+        found = exact_dedup.duplicates(df, 2)
+        assert got(found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")) == brute(rows)
+
+
+def test_rows_of_clashing_names_come_back_whole(spark):
+    names = "doc_id long, text string, own int, id int, none int, sha int, points int, __d int"
+    df = spark.createDataFrame([(1, "a b", 1, 2, 3, 4, 5, 77), (2, "ab", 1, 2, 3, 4, 5, 78)], names)
+    assert [tuple(r) for r in exact_dedup.drop_copies(df).collect()] == [(1, "a b", 1, 2, 3, 4, 5, 77)]
