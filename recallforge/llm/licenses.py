@@ -1,14 +1,10 @@
 r"""License scans by diagonal voting.
 
-Every text's rolling word k-grams are packed into numbers, and Spark joins them to the positions of the
-same k-grams in license templates (a fixed, small table, broadcast). Each match votes for the diagonal
-text position - template position; votes are added per diagonal, neighbouring diagonals (words put in
-or left out) are merged, and the merged span is verified: the share of template words it covers, against
-the longer of template and span.
-
-Template words are numbered, and a k-gram is packed from those numbers, so equal numbers mean equal
-words. A k-gram with a word that no template has can match no position and is left out before the
-join; all others are joined.
+All rolling word k-grams of a text are hashed (64 bits, from the XXH64 of their words), and Spark joins all of them to
+the positions of the same k-grams in license templates (a fixed, small table, broadcast). Each match
+votes for the diagonal text position - template position; votes are added per diagonal, neighbouring
+diagonals (words put in or left out) are merged, and the merged span is verified: the share of template
+words it covers, against the longer of template and span. Templates may have any number of words.
 
 A template's version numbers tell licenses apart that share all other words, so the main number of each
 ("2" of "2.0", as "Version 2" is often written alone) must be among the covered words.
@@ -18,28 +14,25 @@ similarity of `least`.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of the text with A-Z in lower case, numbered from 0.
 Defined cases: null and empty texts have no words, no places, empty label strings and score 0; rows
-that repeat a doc_id are scanned one by one; extra columns aren't read; an empty table gives an empty
-result.
+that repeat a doc_id are scanned one by one; of templates that cover a place alike (ties) all count; very long texts
+are hashed whole, a few at a time; extra columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ._common import prepare, slices
 
-#: Longest k-gram; templates with fewer words use k-grams of their own length. Three packed words.
+#: Longest k-gram; templates with fewer words use k-grams of their own length.
 K = 3
-WORD_BITS = 20
 #: Similarity from which a template counts.
 LEAST = 0.8
-#: Words a template may have: one bit of a vote mask for each.
-LONGEST = 60
 
 #: Base phrases and their labels (fixed values).
 PHRASES = [
@@ -67,12 +60,32 @@ NOTICES = [
 ]
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Odd factors of the places of a k-gram (fixed values: any odd numbers of 64 bits do).
+_FACTORS = np.random.default_rng(0).integers(0, 1 << 64, K + 1, dtype=np.uint64) | np.uint64(1)
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, as signed numbers; the words are given by their hashes."""
+    n = max(0, len(hashes) - k + 1)
+    out = np.full(n, k, np.uint64) * _FACTORS[K]
+    for i in range(k):
+        out += hashes[i : i + n] * _FACTORS[i]
+    return _mixed(out).view(np.int64)
+
+
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
 @dataclass(frozen=True)
 class Template:
     words: tuple[bytes, ...]
@@ -84,80 +97,58 @@ class Template:
         return min(K, len(self.words))
 
     @property
-    def numbers(self) -> int:
-        """Bits of the words that are the main part of a number."""
+    def numbers(self) -> list[int]:
+        """Places of the words that are the main part of a number."""
         digit = [w.isdigit() for w in self.words]
-        return sum(1 << i for i, d in enumerate(digit) if d and not (i and digit[i - 1]))
+        return [i for i, d in enumerate(digit) if d and not (i and digit[i - 1])]
 
 
 def templates(phrases=PHRASES, notices=NOTICES) -> list[Template]:
     out = [Template(tuple(words(t)), label, base) for own, base in ((phrases, True), (notices, False)) for t, label in own]
-    if any(not 0 < len(t.words) <= LONGEST for t in out):
-        raise ValueError(f"templates have 1 to {LONGEST} words")
+    if not all(t.words for t in out):
+        raise ValueError("a template has a word at least")
     return out
 
 
-class Grams:
-    """Numbers of template words and packing of k-grams."""
-
-    def __init__(self, known: list[Template]):
-        self.number = {w: i for i, w in enumerate(sorted({w for t in known for w in t.words}), 1)}
-        self.used = {}
-        for k in sorted({t.k for t in known}):
-            self.used[k] = np.zeros(len(self.number) + 1, dtype=bool)
-            self.used[k][[self.number[w] for t in known if t.k == k for w in t.words]] = True
-
-    def of(self, text_words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and packed k-grams, of each k that templates use, made of known words only."""
-        ids = np.fromiter(map(self.number.get, text_words, repeat(0)), dtype=np.int64, count=len(text_words))
-        at, packed = [], []
-        for k, used in self.used.items():
-            if len(ids) >= k:
-                ok = used[ids]
-                all_ok = np.logical_and.reduce([ok[i : len(ids) - k + 1 + i] for i in range(k)])
-                pos = np.flatnonzero(all_ok)
-                gram = np.full(len(pos), k, dtype=np.int64)
-                for i in range(k):
-                    gram = (gram << WORD_BITS) | ids[pos + i]
-                at.append(pos)
-                packed.append(gram)
-        return (np.concatenate(at), np.concatenate(packed)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def positions(spark: SparkSession, known: list[Template]) -> DataFrame:
-    """gram, template, tpos of every k-gram of the templates; gram -1 is the row that each text has."""
-    grams, rows = Grams(known), [(-1, -1, 0)]
-    for n, t in enumerate(known):
-        pos, packed = grams.of(list(t.words))
-        rows += [(int(g), n, int(p)) for p, g in zip(pos, packed) if int(g) >> (WORD_BITS * t.k) == t.k]
-    return spark.createDataFrame(rows, "gram long, template int, tpos int")
+    """gram, template, k, tpos of every k-gram of the templates; the row with k 0 is the one that each text has."""
+    rows = [(int(g), n, t.k, p) for n, t in enumerate(known) for p, g in enumerate(rolling(word_hashes(list(t.words)), t.k))]
+    return spark.createDataFrame([(0, -1, 0, 0), *rows], "gram long, template int, k int, tpos int")
 
 
 def _catalogue(spark: SparkSession, known: list[Template]) -> DataFrame:
     rows = [(n, t.label, t.base, len(t.words), t.k, 0 if t.base else max(1, len(t.words) // 8), t.numbers) for n, t in enumerate(known)]
-    return spark.createDataFrame([(-1, None, False, 1, 1, 0, 0), *rows], "template int, label string, base boolean, length int, k int, slack int, numbers long")
+    return spark.createDataFrame([(-1, None, False, 1, 1, 0, []), *rows], "template int, label string, base boolean, length int, k int, slack int, numbers array<int>")
 
 
 def text_grams(docs: DataFrame, known: list[Template]) -> DataFrame:
-    """row (a number of its own for each row), doc_id, n_words, at and gram (arrays) of each row."""
+    """row (a number of its own for each row), doc_id, n_words and grams of each row: the hashes of all its
+    k-grams, for each k that templates have in rising order, then a 0."""
     prepare(docs.sparkSession)
+    ks = sorted({t.k for t in known})
 
     def batches(it):
-        grams = Grams(known)
         for b in slices(it):
-            n, at, packed = [], [], []
-            for text in b.column(2).to_pylist():
-                found = words(text)
-                pos, gram = grams.of(found)
-                n.append(len(found))
-                at.append(np.append(pos, -1))
-                packed.append(np.append(gram, -1))
-            starts = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in at])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())) for x in (at, packed)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *lists], ["row", "doc_id", "n_words", "at", "gram"])
+            texts = [words(t.as_py()) for t in b.column(2)]
+            coded = pa.array([w for t in texts for w in t], pa.large_binary()).dictionary_encode()
+            hashes = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
+            ends = np.cumsum([0, *map(len, texts)])
+            runs = [np.concatenate([*(rolling(hashes[i:j], k) for k in ks), [0]]) for i, j in zip(ends[:-1], ends[1:])]
+            starts = pa.array(np.cumsum([0, *map(len, runs)]), pa.int32())
+            grams = pa.ListArray.from_arrays(starts, pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(ends), pa.int64()), grams], ["row", "doc_id", "n_words", "grams"])
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(batches, "row long, doc_id long, n_words long, at array<bigint>, gram array<bigint>")
+    return own.mapInArrow(batches, "row long, doc_id long, n_words long, grams array<bigint>")
+
+
+def _at(known: list[Template]) -> Column:
+    """Word at which the gram at place p of a text's grams starts."""
+    out, before = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    for k in sorted({t.k for t in known}):
+        out = F.when(F.col("k") == k, F.col("p") - before).otherwise(out)
+        before = before + F.greatest(F.lit(0).cast("long"), F.col("n_words") - (k - 1))
+    return out
 
 
 def spans(docs: DataFrame, least: float = LEAST, known: list[Template] | None = None) -> DataFrame:
@@ -166,25 +157,23 @@ def spans(docs: DataFrame, least: float = LEAST, known: list[Template] | None =
     Each text also has one row without a label, so that texts without a license stay in the result.
     """
     known, spark = known or templates(), docs.sparkSession
-    grams = text_grams(docs, known)
-    flat = grams.select("row", "doc_id", "n_words", F.explode(F.arrays_zip("at", "gram")).alias("g")).select("row", "doc_id", "n_words", "g.at", "g.gram")
-    votes = flat.join(F.broadcast(positions(spark, known)), "gram").select("row", "doc_id", "n_words", "template", "at", "tpos")
+    flat = text_grams(docs, known).select("row", "doc_id", "n_words", F.posexplode("grams").alias("p", "gram"))
+    votes = flat.join(F.broadcast(positions(spark, known)), "gram").select("row", "doc_id", "n_words", "template", _at(known).alias("at"), "tpos")
     # A text's votes meet in one task: their number is bounded by its own length and the templates'.
     votes = votes.repartition("row").withColumn("diagonal", F.col("at") - F.col("tpos"))
-    lines = votes.groupBy("row", "template", "diagonal").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("at").alias("first"), F.max("at").alias("last"))
+    lines = votes.groupBy("row", "template", "diagonal").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set("tpos").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))
     lines = lines.join(F.broadcast(_catalogue(spark, known)), "template")
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.col("slack")
     lines = lines.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("cluster", F.sum("new").over(along))
     merged = lines.groupBy("row", "template", "cluster").agg(
-        *[F.max(c).alias(c) for c in ("doc_id", "n_words", "label", "base", "length", "k", "numbers")],
-        F.bit_or("mask").alias("mask"), F.min("first").alias("start"), F.max("last").alias("last"),
+        *[F.max(c).alias(c) for c in ("doc_id", "n_words", "label", "base", "length", "k")], F.first("numbers").alias("numbers"),
+        F.flatten(F.collect_list("places")).alias("places"), F.min("first").alias("start"), F.max("last").alias("last"),
     )
-    merged = merged.withColumn("mask", F.expr("mask | if(k > 1, shiftleft(mask, 1), 0L) | if(k > 2, shiftleft(mask, 2), 0L)"))
-    merged = merged.where("template < 0 or mask & numbers = numbers")
-    covered = F.bit_count("mask")
+    merged = merged.withColumn("covered", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("k") - 1)))))
+    merged = merged.where((F.col("template") < 0) | (F.size(F.array_except("numbers", "covered")) == 0))
     end = F.col("last") + F.col("k")
-    similarity = F.when(F.col("template") < 0, 0.0).otherwise(covered / F.greatest(F.col("length").cast("long"), end - F.col("start")))
+    similarity = F.when(F.col("template") < 0, 0.0).otherwise(F.size("covered") / F.greatest(F.col("length").cast("long"), end - F.col("start")))
     out = merged.select("row", "doc_id", "n_words", "label", "base", "start", end.alias("end"), similarity.alias("similarity"))
     return out.where(F.col("label").isNull() | (F.col("similarity") >= F.when(F.col("base"), 1.0).otherwise(least)))
 
