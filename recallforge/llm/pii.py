@@ -9,8 +9,13 @@ The patterns are written so that Java's matcher needs neither recursion nor retr
 leftmost, non-overlapping matches as the plain patterns in the comments and take linear time on very
 long runs. A span's place comes from the lengths of the matches and of the parts between them.
 
+An IBAN is cut at its country's length, so words in capitals that follow it don't spoil it; one whose
+country isn't in LENGTHS is taken as far as letters and digits go.
+
 Defined cases: null text counts as empty (no spans, digest of the empty string); equal rows get equal
-values; extra columns aren't read; offsets count code points, end exclusive.
+values; matches of several kinds at one place (ties) are all listed, in the order of KINDS; very long texts take
+time and memory in proportion to their length; extra columns aren't read; an empty table gives an empty result;
+offsets count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -30,9 +35,27 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # country, check digits, then 11 to 30 letters or digits in groups that single spaces may part
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
 }
+#: Lengths of IBANs by country (fixed values, the public IBAN registry).
+LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20,
+    "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27,
+    "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban() -> str:
+    """Country, check digits, then the country's number of letters or digits in groups that single spaces may part."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    known = [rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, c in sorted(by_length.items())]
+    other = rf"(?!{'|'.join(LENGTHS)})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
+PATTERNS["iban"] = _iban()
 #: What a text must hold for the pattern to be worth running: a cheap test with no false negatives.
 _HINTS = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.contains(t, F.lit("+")), "iban": lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: F.lit(True)}
 #: Score of a confirmed span before context, and the words that raise or lower it.
@@ -44,7 +67,7 @@ CONTEXT = {
     "phone": r"phone|call|mobile|\btel|fax|contact",
     "iban": r"iban|bank|account|transfer",
 }
-#: Code points before a span that are searched for such words.
+#: Code points before and after a span that are searched for such words.
 NEAR = 40
 AGAINST = r"version|example|sample|isbn|serial|order no|invoice"
 
@@ -87,41 +110,55 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, found: Column, kind: str) -> Column:
+#: Elements that one step of a running sum appends to at most: appending copies what is there.
+RUN = 128
+
+
+def running(lengths: Column) -> Column:
+    """Sums of what stands before each number of an array (a plain column); in runs of RUN, whose own sums come first."""
+    cut = lambda j: F.slice(lengths, j * RUN + 1, F.lit(RUN))
+    append = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    first = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int"))
+    sums = F.transform(runs, lambda j: F.aggregate(cut(j), F.lit(0), lambda s, x: s + x))
+    offsets = F.aggregate(sums, first(F.lit(0)), append, lambda s: s["out"])
+    each = F.transform(F.arrays_zip(runs.alias("j"), offsets.alias("o")), lambda z: F.aggregate(cut(z["j"]), first(z["o"]), append, lambda s: s["out"]))
+    return F.when(F.size(lengths) > 0, F.flatten(each)).otherwise(F.array().cast("array<int>"))
+
+
+def _spans(found: Column, parts: Column, starts: Column, kind: str) -> Column:
     """array<struct<start, kind, end, value, score>> of the confirmed matches, in text order.
 
-    found: the matches. The parts between them give their places, and the end of the part before a
-    match is its context.
+    found: the matches, parts: what stands between them, starts: the places of the parts. A match's context is
+    the NEAR code points on either side, as far as the neighbouring matches and the parts beyond them go.
     """
-    shape = "array<struct<start:int,kind:int,end:int,value:string,score:double>>"
-    none = F.array().cast(shape)
-    parts = F.arrays_zip(found.alias("value"), F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found)).alias("part"))
-
-    def place(state: Column, p: Column) -> Column:
-        value, near = p["value"], F.lower(F.substring(p["part"], -NEAR, NEAR))
-        start = state["end"] + F.length(p["part"])
-        end = start + F.length(value)
+    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+
+    def place(value: Column, i: Column) -> Column:
+        before = F.right(F.concat(F.right(at(parts, i - 1), F.lit(NEAR)), at(found, i - 1), F.right(at(parts, i), F.lit(NEAR))), F.lit(NEAR))
+        after = F.left(F.concat(F.left(at(parts, i + 1), F.lit(NEAR)), F.when(F.length(at(parts, i + 1)) < NEAR, F.concat(at(found, i + 1), F.left(at(parts, i + 2), F.lit(NEAR)))).otherwise("")), F.lit(NEAR))
+        start = F.get(starts, i) + F.length(at(parts, i))
+        near = F.lower(F.concat(before, F.lit("\n"), after))
         score = F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), 0.1).otherwise(0.0) - F.when(near.rlike(AGAINST), 0.3).otherwise(0.0)
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), value.alias("value"), F.round(score, 2).alias("score"))
-        spans = F.when(confirmed(kind, value), F.concat(state["spans"], F.array(one).cast(shape))).otherwise(state["spans"])
-        return F.struct(end.alias("end"), spans.alias("spans"))
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), F.round(score, 2).alias("score"))
 
-    first = F.struct(F.lit(0).alias("end"), none.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(parts, first, place, lambda state: state["spans"])).otherwise(none)
+    return F.filter(F.transform(found, place), lambda s: confirmed(kind, s["value"]))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans, array<struct<start, kind, end, value, score>> ordered by start, then kind.
 
     kind is a place in KINDS; score is the prior of the kind, adjusted by words within NEAR code
-    points before the span, 0 to 1.
+    points on either side of the span, 0 to 1.
     """
-    text = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    empty = F.array().cast("array<string>")
-    found = {f"_{k}": F.when(_HINTS[k](F.col("text")), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(empty) for k, p in PATTERNS.items()}
-    each = text.select("doc_id", "text", *[c.alias(k) for k, c in found.items()])
-    spans = F.concat(*[_spans(F.col("text"), F.col(f"_{k}"), k) for k in KINDS])
-    return each.select("doc_id", F.array_sort(spans).alias("spans"))
+    rows = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    none = F.array().cast("array<string>")
+    rows = rows.select("*", *[F.when(_HINTS[k](F.col("text")), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(f"found_{k}") for k, p in PATTERNS.items()])
+    rows = rows.select("*", *[F.when(F.size(f"found_{k}") > 0, F.split("text", p, -1)).otherwise(none).alias(f"parts_{k}") for k, p in PATTERNS.items()])
+    rows = rows.select("*", *[F.zip_with(f"found_{k}", F.slice(f"parts_{k}", F.lit(1), F.size(f"found_{k}")), lambda v, part: F.length(v) + F.length(part)).alias(f"lengths_{k}") for k in KINDS])
+    rows = rows.select("*", *[running(F.col(f"lengths_{k}")).alias(f"starts_{k}") for k in KINDS])
+    spans = F.concat(*[_spans(F.col(f"found_{k}"), F.col(f"parts_{k}"), F.col(f"starts_{k}"), k) for k in KINDS])
+    return rows.select("doc_id", F.array_sort(spans).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

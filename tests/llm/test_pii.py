@@ -72,3 +72,39 @@ def test_ibans_and_context(spark):
     spans = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [[(pii.KINDS[s.kind], s.value) for s in spans[i] if s.kind == 4] for i in range(3)] == [[("iban", "GB82 WEST 1234 5698 7654 32")], [], [("iban", "DE89370400440532013000")]]
     assert [spans[i][0].score for i in (0, 2, 3, 4)] == [1.0, 0.9, 0.6, 0.9]
+
+
+def test_ibans_end_where_their_country_says(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32 AND MORE", "NO9386011117947 OSLO 99", "GB82WEST12345698765432X", "ZZ68 5390 0754 7034", "gb82 DE89 3704 0044 0532 0130 00 DE89370400440532013000"]
+    spans = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = [[s.value for s in spans[i] if s.kind == 4] for i in range(5)]
+    assert got == [["GB82 WEST 1234 5698 7654 32"], ["NO9386011117947"], [], [], ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]]
+
+
+def brute_spans(text):
+    """All spans with their scores, by Python's matcher and plain slices of the text."""
+    out = []
+    for n, kind in enumerate(pii.KINDS):
+        matches = list(re.finditer(pii.PATTERNS["iban"] if kind == "iban" else PLAIN[n][1], text or ""))
+        for m in matches:
+            digits = re.sub("[^0-9]", "", m.group())
+            bare = m.group().replace(" ", "")
+            ok = {
+                "email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m.group().split(".")), "card": lambda: 14 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 10 <= len(digits) <= 15,
+                "iban": lambda: 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1,
+            }[kind]()
+            if ok:
+                near = (text[max(0, m.start() - pii.NEAR) : m.start()] + "\n" + text[m.end() : m.end() + pii.NEAR]).lower()
+                score = pii.PRIOR[kind] + 0.1 * bool(re.search(pii.CONTEXT[kind], near)) - 0.3 * bool(re.search(pii.AGAINST, near))
+                out.append((m.start(), n, m.end(), m.group(), round(score, 2)))
+    return sorted(out)
+
+
+def test_spans_and_scores_match_brute_force(spark, data):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    texts |= {-1: "10.0.0.1 is our host address", -2: "mail a@b.co or c@d.co, then phone +1 555 123 4567 x " * 400, -3: "é " + "a@b.co " * 700 + "IBAN GB82 WEST 1234 5698 7654 32 AND MORE", -4: None, -5: ""}
+    rows = pii.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert [tuple(s) for s in r.spans] == brute_spans(texts[r.doc_id]), r.doc_id
+    assert {r.doc_id: r.spans[0].score for r in rows if r.doc_id == -1} == {-1: 0.7}
