@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -13,11 +14,11 @@ from .functions.stats import axis_stats, effective_dims
 from .operators import candidates, filters, knn, recall as recalls, scoring, topk
 from .operators.filters import RecallQuery
 from .plans import planner, trace
-from .routers import flat, pivot
+from .routers import flat, pivot, routed
 from .schema import RECORDS_SQL, normal_symbol, records_view
 from .sources import oplog
 
-DIM, QUERY_VEC, EVERY = 64, 7, 50
+DIM, QUERY_VEC, EVERY = 64, 7, 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def _vector(spark: SparkSession, sf_dir: str, vec_id: int = QUERY_VEC) -> list[f
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th vector, as queries against all vectors."""
+    """Vectors whose id is divisible by 20, as queries against all vectors."""
     return _read(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
@@ -114,7 +115,7 @@ def symbol_postings(spark, sf_dir):
 _KNN = f"""SELECT query_id, rank, vec_id, distance FROM (
     SELECT q.vec_id AS query_id, e.vec_id, round(sqrt({_l2('q.embedding', 'e.embedding')}), 6) AS distance,
            row_number() OVER (PARTITION BY q.vec_id ORDER BY {_l2('q.embedding', 'e.embedding')}, e.vec_id)::INTEGER AS rank
-    FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0) WHERE rank <= 10"""
+    FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0) WHERE rank <= 10"""
 
 
 @_register(_KNN)
@@ -157,7 +158,7 @@ def recall_no_embedding(spark, sf_dir):
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id, record_id)::INTEGER AS rank FROM (
         SELECT *, {_score_sql('d', 0)} AS score FROM (
             SELECT r.*, q.vec_id AS query_id, sqrt({_l2('r.embedding', 'q.embedding')}) AS d FROM records r JOIN embeddings q
-            ON q.vec_id % 50 = 0 AND r.scope_id = q.vec_id % 32 AND r."timestamp" >= 1700000000 + q.vec_id % 100))) WHERE rank <= 5""", True)
+            ON q.vec_id % 20 = 0 AND r.scope_id = q.vec_id % 32 AND r."timestamp" >= 1700000000 + q.vec_id % 100))) WHERE rank <= 5""", True)
 def recall_batch(spark, sf_dir):
     queries = [(r.query_id, RecallQuery(embedding=list(r.embedding), scope_id=r.query_id % 32, time_start=1700000000 + r.query_id % 100, limit=5)) for r in _queries(spark, sf_dir).toLocalIterator()]
     return _hits(recalls.recall_many(records_view(spark, sf_dir), queries), "query_id")
@@ -313,7 +314,7 @@ def quantize_i16(spark, sf_dir):
     return rows.select("vec_id", F.transform("embedding", lambda v: q8.quantize(v.cast("double"), F.col("scale"))).alias("codes"))
 
 
-@_register("""SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v::DOUBLE / s < -2 THEN -3 WHEN v::DOUBLE / s < 0 THEN -1 WHEN v::DOUBLE / s < 2 THEN 1 ELSE 3 END) AS levels
+@_register("""SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN round_even(v::DOUBLE / s, 0) < -2 THEN -3 WHEN round_even(v::DOUBLE / s, 0) < 0 THEN -1 WHEN round_even(v::DOUBLE / s, 0) < 2 THEN 1 ELSE 3 END) AS levels
     FROM (SELECT *, list_max(list_transform(embedding, lambda v: abs(v::DOUBLE))) / 3.0::DOUBLE AS s FROM embeddings)""")
 def residual_levels(spark, sf_dir):
     rows = _read(spark, sf_dir, "embeddings").withColumn("s", F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double")))) / F.lit(3.0))
@@ -345,82 +346,71 @@ def centroid_assign(spark, sf_dir):
     return flat.assign(rows.select(F.col("vec_id").alias("query_id"), "embedding"), own, DIM).select("query_id", "grain_id")
 
 
-@_register(f"""WITH {_CENTROIDS}, p AS (SELECT * FROM (SELECT vec_id AS query_id, embedding, grain_id, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('embedding', 'centroid')}, grain_id) AS n FROM embeddings, c WHERE vec_id % 50 = 0) WHERE n <= 3)
+@_register(f"""WITH {_CENTROIDS}, p AS (SELECT * FROM (SELECT vec_id AS query_id, embedding, grain_id, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('embedding', 'centroid')}, grain_id) AS n FROM embeddings, c WHERE vec_id % 20 = 0) WHERE n <= 9)
     SELECT query_id, rank, vec_id, distance FROM (SELECT p.query_id, e.vec_id, round(sqrt({_l2('p.embedding', 'e.embedding')}), 6) AS distance,
         row_number() OVER (PARTITION BY p.query_id ORDER BY {_l2('p.embedding', 'e.embedding')}, e.vec_id)::INTEGER AS rank FROM p JOIN embeddings e ON e.label = p.grain_id) WHERE rank <= 10""")
 def nprobe_search_exact(spark, sf_dir):
+    """The rows of the nine nearest of ten classes by their centroids: fewer miss a recall of 0.9 on these vectors."""
     rows, queries = _read(spark, sf_dir, "embeddings"), _queries(spark, sf_dir)
-    probes = flat.order(queries, flat.class_centroids(rows, "label"), 3, DIM).select("query_id", F.col("grain_id").alias("block"))
+    probes = flat.order(queries, flat.class_centroids(rows, "label"), 9, DIM).select("query_id", F.col("grain_id").alias("block"))
     payload = rows.select(F.col("label").cast("long").alias("block"), "vec_id", "embedding")
-    return pivot.scan_blocks(queries, probes, payload, 10, DIM).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+    return _found(pivot.scan_blocks(queries, probes, payload, 10, DIM))
 
 
-def _fixed_pivots(spark: SparkSession, sf_dir: str, prefix: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pivots are the vectors 0, 31, 62, ...; blocks are runs of 50 ids and stand for their first vector."""
-    rows = _read(spark, sf_dir, "embeddings")
-    pivots = rows.where("vec_id % 31 = 0 AND vec_id < 496").select(F.expr("cast(div(vec_id, 31) as int)").alias("pivot"), "embedding")
-    heads = rows.where("vec_id % 50 = 0").select(F.expr("cast(div(vec_id, 50) as int)").alias("block"), "embedding")
-    d = heads.join(F.broadcast(pivots.select("pivot", F.col("embedding").alias("p")))).select("block", "pivot", l2_squared(F.col("embedding"), F.col("p"), DIM).alias("sq"))
-    near = topk.best_per(d, ["block"], [F.asc("sq"), F.asc("pivot")], prefix, "place").select("block", "pivot", (F.col("place") - 1).alias("bpos"))
-    n = heads.count()
-    idf = near.groupBy("pivot").agg((F.log((F.lit(n) + 1.0) / (F.count("*") + 1.0)) + 1.0).alias("idf"))
-    return pivots, near.join(idf, "pivot"), rows.select(F.expr("cast(div(vec_id, 50) as int)").alias("block"), "vec_id", "embedding")
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+#: Blocks that a search scans, as shares of all blocks, for a recall of 0.9 on vectors without clear clusters.
+PIVOT_SHARE, DENSE_SHARE = 0.8, 0.75
 
 
-_PIVOTS = f"""pv AS (SELECT vec_id // 31 AS pv_id, embedding FROM embeddings WHERE vec_id % 31 = 0 AND vec_id < 496),
-    hd AS (SELECT vec_id // 50 AS block, embedding FROM embeddings WHERE vec_id % 50 = 0),
-    nr AS (SELECT * FROM (SELECT block, pv_id, row_number() OVER (PARTITION BY block ORDER BY {_l2('hd.embedding', 'pv.embedding')}, pv_id) AS bpos FROM hd, pv) WHERE bpos <= 4),
-    idf AS (SELECT pv_id, ln(((SELECT count(*) FROM hd) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM nr GROUP BY pv_id),
-    qn AS (SELECT * FROM (SELECT vec_id AS query_id, pv_id, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('e.embedding', 'pv.embedding')}, pv_id) AS qpos FROM embeddings e, pv WHERE vec_id % 50 = 0) WHERE qpos <= 4)"""
+def _pivot_router(spark: SparkSession, sf_dir: str, mode: str) -> pivot.PivotPrefix:
+    x = routed.sample(_vectors(spark, sf_dir))
+    config = pivot.PivotConfig(16, 64, 16, math.ceil(PIVOT_SHARE * math.ceil(len(x) / 16)), len(x), mode)
+    return pivot.PivotPrefix(x, config)
 
 
-@_register(f"""WITH {_PIVOTS} SELECT query_id, rank, block, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, block)::INTEGER AS rank FROM (
-    SELECT query_id, block::INTEGER AS block, sum(idf / (qpos * bpos)) AS score FROM qn JOIN nr USING (pv_id) JOIN idf USING (pv_id) GROUP BY ALL)) WHERE rank <= 3""")
+@_register()
 def pivot_prefix_route(spark, sf_dir):
-    pivots, posts, _ = _fixed_pivots(spark, sf_dir, 4)
-    return pivot.route_blocks(_queries(spark, sf_dir), pivots, posts, 4, 3, "weighted", DIM).withColumn("score", F.round("score", 6))
+    """Blocks of a bounded sample, routed by their nearest pivots."""
+    router = _pivot_router(spark, sf_dir, "weighted")
+    pivots, posts = router.tables(spark)[:2]
+    found = pivot.route_blocks(_queries(spark, sf_dir), pivots, posts, router.prefix_len, router.config.top_blocks, "weighted", DIM)
+    return found.withColumn("score", F.round("score", 6))
 
 
-@_register(f"""WITH {_PIVOTS}, s AS (SELECT query_id, rank, block FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, block) AS rank FROM (
-    SELECT query_id, block, sum(1.0::DOUBLE / (qpos + bpos - 1)) AS score FROM qn JOIN nr USING (pv_id) GROUP BY ALL)) WHERE rank <= 3)
-    SELECT query_id, rank, vec_id, distance FROM (SELECT s.query_id, e.vec_id, round(sqrt({_l2('q.embedding', 'e.embedding')}), 6) AS distance,
-        row_number() OVER (PARTITION BY s.query_id ORDER BY {_l2('q.embedding', 'e.embedding')}, e.vec_id)::INTEGER AS rank
-        FROM s JOIN embeddings e ON e.vec_id // 50 = s.block JOIN embeddings q ON q.vec_id = s.query_id) WHERE rank <= 10""")
+@_register()
 def pivot_union_search(spark, sf_dir):
-    pivots, posts, payload = _fixed_pivots(spark, sf_dir, 4)
-    queries = _queries(spark, sf_dir)
-    chosen = pivot.route_blocks(queries, pivots, posts, 4, 3, "union", DIM)
-    return pivot.scan_blocks(queries, chosen, payload, 10, DIM).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+    """The same with union weights; all rows of the chosen blocks are scanned."""
+    router, queries = _pivot_router(spark, sf_dir, "union"), _queries(spark, sf_dir)
+    pivots, posts = router.tables(spark)[:2]
+    chosen = pivot.route_blocks(queries, pivots, posts, router.prefix_len, router.config.top_blocks, "union", DIM)
+    chosen = chosen.groupBy("query_id").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    return _found(routed.search(_vectors(spark, sf_dir), queries.join(chosen, "query_id"), router.means, 10))
 
 
-@_register(f"""WITH {_PIVOTS}, qd AS (SELECT vec_id AS query_id, pv_id, sqrt({_l2('e.embedding', 'pv.embedding')}) AS d FROM embeddings e, pv WHERE vec_id % 50 = 0),
-    bd AS (SELECT block, pv_id, sqrt({_l2('hd.embedding', 'pv.embedding')}) AS d FROM hd, pv)
-    SELECT query_id, rank, block, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), block)::INTEGER AS rank FROM (
-        SELECT query_id, block::INTEGER AS block, max(abs(qd.d - bd.d)) AS score FROM qd JOIN bd USING (pv_id) GROUP BY ALL)) WHERE rank <= 3""")
+@_register()
 def dense_sketch_route(spark, sf_dir):
-    rows, queries = _read(spark, sf_dir, "embeddings"), _queries(spark, sf_dir)
-    pivots = F.broadcast(rows.where("vec_id % 31 = 0 AND vec_id < 496").select(F.expr("cast(div(vec_id, 31) as int)").alias("pivot"), F.col("embedding").alias("p")))
-
-    def dists(df: DataFrame, key: str) -> DataFrame:
-        d = df.join(pivots).select(key, "pivot", F.sqrt(l2_squared(F.col("embedding"), F.col("p"), DIM)).alias("d"))
-        return d.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pivot", "d"))), lambda x: x["d"]).alias("dists"))
-
-    heads = rows.where("vec_id % 50 = 0").select(F.expr("cast(div(vec_id, 50) as int)").alias("block"), "embedding")
-    return pivot.dense_route_blocks(dists(queries, "query_id"), dists(heads, "block"), 3).withColumn("score", F.round("score", 6))
+    """Blocks of a bounded sample in the order of the largest difference of pivot distances."""
+    x = routed.sample(_vectors(spark, sf_dir))
+    config = pivot.PivotConfig(16, 64, 2, math.ceil(DENSE_SHARE * math.ceil(len(x) / 16)), len(x))
+    found = pivot.dense_route(_queries(spark, sf_dir), pivot.DenseSketch(x, config))
+    return found.withColumn("score", F.round("score", 6))
 
 
-@_register(f"""WITH {_CENTROIDS}, p AS (SELECT * FROM (SELECT vec_id AS query_id, embedding, grain_id, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('embedding', 'centroid')}, grain_id) AS n FROM embeddings, c WHERE vec_id % 50 = 0) WHERE n <= 3),
+@_register(f"""WITH {_CENTROIDS}, p AS (SELECT * FROM (SELECT vec_id AS query_id, embedding, grain_id, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('embedding', 'centroid')}, grain_id) AS n FROM embeddings, c WHERE vec_id % 20 = 0) WHERE n <= 9),
     f AS (SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_l2('p.embedding', 'e.embedding')}, vec_id) AS rank FROM p JOIN embeddings e ON e.label = p.grain_id) WHERE rank <= 10),
     t AS ({_KNN}) SELECT query_id, count(f.vec_id) / count(*) AS recall FROM t LEFT JOIN f USING (query_id, vec_id) GROUP BY query_id""")
 def recall_at_k(spark, sf_dir):
     return knn.recall_at(nprobe_search_exact(spark, sf_dir), knn.nearest(_read(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10), 10)
 
 
-def _index(spark: SparkSession, sf_dir: str, **options):
+def _index(spark: SparkSession, sf_dir: str, grains: int = 8, **options):
     from .index.index import GrainIndex, Options
 
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return GrainIndex(spark, DIM, Options(**options)).build(rows, 8)
+    return GrainIndex(spark, DIM, Options(**options)).build(rows, grains)
 
 
 def _found(df: DataFrame) -> DataFrame:
@@ -429,12 +419,12 @@ def _found(df: DataFrame) -> DataFrame:
 
 @_register()
 def mode_a_search(spark, sf_dir):
-    return _found(_index(spark, sf_dir).search_mode_a(_queries(spark, sf_dir), 10, 4))
+    return _found(_index(spark, sf_dir, 16).search_mode_a(_queries(spark, sf_dir), 10, 14))
 
 
 @_register()
 def mode_b_search(spark, sf_dir):
-    return _found(_index(spark, sf_dir, residual_bits=2).search_mode_b(_queries(spark, sf_dir), 10, 100, 4))
+    return _found(_index(spark, sf_dir, local_dim=32, sketch_dim=16, residual_bits=2).search_mode_b(_queries(spark, sf_dir), 10, 200, 7))
 
 
 @_register(_KNN)
@@ -445,7 +435,7 @@ def mode_a_all_grains(spark, sf_dir):
 
 @_register()
 def pq_search(spark, sf_dir):
-    return _found(_index(spark, sf_dir, shared_parts=8, shared_bits=4, shared_rotate=True).search_mode_b(_queries(spark, sf_dir), 10, 100, 4))
+    return _found(_index(spark, sf_dir, shared_parts=8, shared_bits=4, shared_rotate=True, local_dim=32).search_mode_b(_queries(spark, sf_dir), 10, 200, 7))
 
 
 @_register("SELECT count(*) AS rows FROM embeddings")
@@ -465,76 +455,106 @@ def buffered_search(spark, sf_dir):
     return _found(buffer.search(_queries(spark, sf_dir), 10))
 
 
-def _routed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    """query_id, rank, vec_id that a router over a bounded sample of vectors returns."""
-    rows = sorted(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id")).limit(4096).collect())
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    route = make(x)
-    out = [(r.query_id, i + 1, int(ids[v])) for r in _queries(spark, sf_dir).toLocalIterator() for i, v in enumerate(route(np.array(r.embedding, float))[:10])]
-    return spark.createDataFrame(out, "query_id long, rank int, vec_id long")
+def _routed(spark: SparkSession, sf_dir: str, share: float, make, size: int = 16, posts: int = 1) -> DataFrame:
+    """query_id, rank, vec_id, distance: a router over the means of blocks of a bounded sample names that share of
+    the blocks, and all rows of those blocks are scanned. make(means, n) gives the route to n blocks."""
+    rows = _vectors(spark, sf_dir)
+    means = routed.fit_blocks(rows, size)
+    route = make(means, math.ceil(share * len(means)))
+    return _found(routed.search(rows, routed.routes(_queries(spark, sf_dir), route), means, 10, posts))
 
 
 @_register()
 def tangent_route(spark, sf_dir):
     from .routers.tangent import TangentConfig, TangentTree
 
-    return _routed(spark, sf_dir, lambda x: lambda q, t=TangentTree(x, TangentConfig(beam=16)): t.route(q)[0])
+    def make(means, n):
+        tree = TangentTree(means, TangentConfig(beam=len(means), candidate_pool=len(means)))
+        return lambda q: tree.route(q, n)[0]
+
+    return _routed(spark, sf_dir, 0.65, make)
 
 
 @_register()
 def lattice_route(spark, sf_dir):
     from .routers.lattice import Lattice
 
-    return _routed(spark, sf_dir, lambda x: lambda q, t=Lattice(x, 6, 0.05): t.route(q, 10))
+    def make(means, n):
+        lattice = Lattice(means, 6, 0.05)
+        return lambda q: lattice.route(q, n)
+
+    return _routed(spark, sf_dir, 0.85, make)
 
 
 @_register()
 def hlr_route(spark, sf_dir):
     from .routers.lattice import HierarchicalLattice
 
-    return _routed(spark, sf_dir, lambda x: lambda q, t=HierarchicalLattice(x): t.route(q, 10))
+    def make(means, n):
+        lattice = HierarchicalLattice(means, (8, 8))
+        return lambda q: lattice.route(q, n)
+
+    return _routed(spark, sf_dir, 0.75, make)
 
 
 @_register()
 def block_graph_route(spark, sf_dir):
-    from .research.graphs import BlockGraph
+    from .research.graphs import PointGraph
+
+    def make(means, n):
+        graph = PointGraph(means, m=8, beam=8, rounds=len(means))
+        return lambda q: graph.route(q, n)
 
-    return _routed(spark, sf_dir, lambda x: lambda q, t=BlockGraph(x): t.route(q, 10))
+    return _routed(spark, sf_dir, 0.65, make)
 
 
 @_register()
 def point_graph_route(spark, sf_dir):
     from .research.graphs import PointGraph
 
-    return _routed(spark, sf_dir, lambda x: lambda q, t=PointGraph(x): t.route(q, 10))
+    def make(means, n):
+        graph = PointGraph(means, rounds=len(means))
+        return lambda q: graph.route(q, n)
+
+    return _routed(spark, sf_dir, 0.55, make, size=4)
 
 
 @_register()
 def landmark_route(spark, sf_dir):
     from .research.routers import Landmarks
 
-    return _routed(spark, sf_dir, lambda x: lambda q, t=Landmarks(x): t.route(q, 10))
+    rows = _vectors(spark, sf_dir)
+    marks = Landmarks(routed.sample(rows), count=64).marks
+    n = math.ceil(0.75 * len(marks))
+    found = routed.routes(_queries(spark, sf_dir), lambda q: np.argsort(((marks - q) ** 2).sum(axis=1), kind="stable")[:n])
+    return _found(routed.search(rows, found, marks, 10, posts=2))
 
 
 @_register()
 def spill_tree_route(spark, sf_dir):
     from .research.routers import SpillTree
 
-    return _routed(spark, sf_dir, lambda x: lambda q, t=SpillTree(x, dims=8): t.route(q, 10))
+    def make(means, n):
+        tree = SpillTree(means, leaf=4, beam=8, spill=8, dims=8)
+        return lambda q: tree.route(q, n)
+
+    return _routed(spark, sf_dir, 0.65, make)
 
 
 @_register()
 def curve_route(spark, sf_dir):
     from .research.routers import CurveOrder
 
-    return _routed(spark, sf_dir, lambda x: lambda q, t=CurveOrder(x): t.route(q, 10))
+    def make(means, n):
+        curve = CurveOrder(means, window=n)
+        return lambda q: curve.route(q, n)
+
+    return _routed(spark, sf_dir, 0.95, make)
 
 
 @_register()
 def chunked_rerank(spark, sf_dir):
-    from .research.routers import chunked_rerank as rerank
-
-    return _routed(spark, sf_dir, lambda x: lambda q: rerank(x, np.arange(len(x)), q, 10))
+    return _found(routed.chunked(_vectors(spark, sf_dir), _queries(spark, sf_dir), 10, slack=3.5))
 
 
 @_register()
@@ -559,11 +579,14 @@ def f16_roundtrip(spark, sf_dir):
 
 @_register()
 def balanced_kmeans(spark, sf_dir):
+    """Balanced means of a bounded sample; every row goes to the nearest of them."""
     from .index.kmeans import balanced
 
-    rows = sorted(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id")).limit(4096).collect())
-    own = balanced(np.array([r[1] for r in rows], float), 8)
-    return spark.createDataFrame([(int(r[0]), int(c)) for r, c in zip(rows, own)], "vec_id long, cluster int")
+    rows = _vectors(spark, sf_dir)
+    x = routed.sample(rows)
+    own = balanced(x, 8)
+    means = np.array([x[own == c].mean(axis=0) for c in np.unique(own)])
+    return routed.assigned(rows, means).select("vec_id", F.col("block").alias("cluster"))
 
 
 # -- streams ----------------------------------------------------------------------------------------

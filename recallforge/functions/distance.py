@@ -24,13 +24,3 @@ def l2_squared(a: Column, b: list[float] | Column, dim: int | None = None) -> Co
         return F.when((F.size(a) == dim) & (F.lit(True) if constant else F.size(b) == dim), total)
     parts = F.zip_with(a, other, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.when(F.size(a) == F.size(other), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))
-
-
-def linf(a: Column, b: Column) -> Column:
-    """Largest absolute difference."""
-    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
-
-
-def key_distance(a: Column, b: Column) -> Column:
-    """Sum of squared differences of integer keys."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("long") - y.cast("long")) * (x.cast("long") - y.cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -16,10 +16,11 @@ def branch_id(name: str) -> int:
     return fnv1a(name.encode())
 
 
-def manifest_id(version: int, parent: int, branch: int, segments: list[tuple[int, str]]) -> int:
-    """Id of a manifest from its lineage and its segments' ids and paths (with forward slashes)."""
-    state = fnv1a(version.to_bytes(4, "little"))
-    for number in (parent, branch, len(segments)):
+def manifest_id(version: int, parent: int | None, branch: int, segments: list[tuple[int, str]]) -> int:
+    """Id of a manifest from its lineage and its segments' ids and paths (with forward slashes). A byte tells whether
+    there is a parent; none (or 0) hashes as 0."""
+    state = fnv1a(version.to_bytes(4, "little") + bytes([bool(parent)]))
+    for number in (parent or 0, branch, len(segments)):
         state = fnv1a(number.to_bytes(8, "little"), state)
     for segment, path in segments:
         state = fnv1a(segment.to_bytes(8, "little"), state)

@@ -29,8 +29,9 @@ def scale_of(values: Column, kind: str = "i16") -> Column:
 
 
 def integer_weight(scale: Column, unit: Column, most: int) -> Column:
-    """clamp(round half away(scale / unit), 1, most)."""
-    return F.greatest(F.lit(1), F.least(F.lit(most), F.round(scale / unit))).cast("long")
+    """clamp(round half away(scale / unit), 1, most); 1 where either isn't positive."""
+    weight = F.greatest(F.lit(1), F.least(F.lit(most), F.round(F.try_divide(scale, unit)))).cast("long")
+    return F.when((scale > 0) & (unit > 0), weight).otherwise(F.lit(1).cast("long"))
 
 
 def sq8_scale(vector: Column) -> Column:
@@ -47,11 +48,11 @@ def sq8_decode(codes: Column, scale: Column) -> Column:
 
 
 def residual_level(x: Column, scale: Column, bits: int) -> Column:
-    """Residual code: 1 bit gives the sign, 2 bits the levels -3, -1, 1, 3, 8 bits an i8."""
+    """Residual code: 1 bit gives the sign, 2 bits the levels -3, -1, 1, 3 (rounded half to even first), 8 bits an i8."""
     if bits == 1:
         return F.when(x >= 0, 1).otherwise(-1)
     if bits == 2:
-        y = F.when(scale > 0, x / scale).otherwise(x)
+        y = F.rint(F.when(scale > 0, x / scale).otherwise(x))
         return F.when(y < -2, -3).when(y < 0, -1).when(y < 2, 1).otherwise(3)
     return quantize(x, scale, "i8")
 
@@ -67,19 +68,23 @@ def scale_np(x: np.ndarray, kind: str = "i16", axis=0) -> np.ndarray:
     return np.where(top > 0, top / TOP[kind], 1.0)
 
 
-def residual_np(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, scale) of residual columns at 1, 2 or 8 bits; decoding is codes * scale."""
+def residual_levels_np(x: np.ndarray, scale: np.ndarray, bits: int) -> np.ndarray:
+    """Residual codes at 1, 2 or 8 bits with given scales; decoding is codes * scale."""
     if bits == 1:
-        return np.where(x >= 0, 1, -1), np.abs(x).mean(axis=0) if len(x) else np.ones(x.shape[1])
+        return np.where(x >= 0, 1, -1)
     if bits == 2:
-        top = np.abs(x).max(axis=0, initial=0.0)
-        scale = np.where(top > 0, top / 3.0, 1.0)
-        y = x / scale
-        return np.select([y < -2, y < 0, y < 2], [-3, -1, 1], 3), scale
+        y = np.rint(x / np.where(scale > 0, scale, 1.0))
+        return np.select([y < -2, y < 0, y < 2], [-3, -1, 1], 3)
     if bits != 8:
         raise ValueError("residual bits are 1, 2 or 8")
-    scale = scale_np(x, "i8")
-    return quantize_np(x, scale, "i8"), scale
+    return quantize_np(x, scale, "i8")
+
+
+def residual_np(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, scale) of residual columns: the largest absolute value is the level at the end of the range."""
+    top = np.abs(x).max(axis=0, initial=0.0)
+    scale = scale_np(x, "i8") if bits == 8 else np.where(top > 0, top / {1: 1.0, 2: 3.0}.get(bits, 1.0), 1.0)
+    return residual_levels_np(x, scale, bits), scale
 
 
 @dataclass(frozen=True)

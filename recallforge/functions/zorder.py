@@ -14,18 +14,13 @@ def zorder(coords: np.ndarray) -> list[bytes]:
 
 
 def morton(coords: np.ndarray) -> list[bytes]:
-    """16-byte Morton keys of the first 16 coordinates, min(16, 128 / dims) low bits each."""
+    """16-byte Morton keys of the first 16 coordinates, min(16, 128 / dims) low bits each; of each level of bits the
+    first coordinate's is the highest."""
     c = np.asarray(coords, np.int64)[:, :16] + 32768
-    dims = c.shape[1]
-    width = min(16, 128 // max(1, dims))
-    out = []
-    for row in c:
-        key = 0
-        for bit in range(width):
-            for d in range(dims):
-                key |= (int(row[d]) >> bit & 1) << (bit * dims + d)
-        out.append(key.to_bytes(16, "big"))
-    return out
+    width = min(16, 128 // max(1, c.shape[1]))
+    bits = ((c[:, None, :] >> np.arange(width - 1, -1, -1)[None, :, None]) & 1).reshape(len(c), -1).astype(np.uint8)
+    padded = np.concatenate([np.zeros((len(c), 128 - bits.shape[1]), np.uint8), bits], axis=1)
+    return [r.tobytes() for r in np.packbits(padded, axis=1)]
 
 
 def gray(n: int) -> int:

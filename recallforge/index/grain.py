@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions.quantize import quantize_np, residual_np, scale_np
+from ..functions.quantize import quantize_np, residual_levels_np, residual_np, scale_np
 from ..functions.stats import pca
 
 
@@ -27,13 +27,7 @@ class Grain:
         left = y - (coords * self.scale) @ self.basis
         residual = quantize_np((left**2).sum(axis=1), self.norm_scale, "u16")
         z = left @ self.sketch_basis.T
-        if self.bits == 1:
-            sketch = np.where(z >= 0, 1, -1)
-        elif self.bits == 2:
-            w = z / np.where(self.sketch_scale > 0, self.sketch_scale, 1.0)
-            sketch = np.select([w < -2, w < 0, w < 2], [-3, -1, 1], 3)
-        else:
-            sketch = quantize_np(z, self.sketch_scale, "i8")
+        sketch = residual_levels_np(z, self.sketch_scale, self.bits)
         return coords, residual, sketch
 
     def decode(self, coords: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -51,11 +45,16 @@ class Grain:
         return unit, w(self.scale**2, 32767), int(w(np.array([self.norm_scale]), 2**32 - 1)[0]), w(self.sketch_scale**2, 8388607)
 
     def scores(self, q: np.ndarray, coords: np.ndarray, residual: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-        """Approximate squared distances: integer sums of residuals, coordinate and sketch differences."""
-        qc, qr, qs = self.encode(q[None, :])
+        """Approximate squared distances, queries by rows: integer sums of residuals, coordinate and sketch
+        differences, as products of matrices of whole numbers."""
+        qc, qr, qs = self.encode(np.atleast_2d(q))
         unit, wc, wr, ws = self.weights()
-        total = (qr[0] + residual) * wr + ((coords - qc) ** 2 * wc).sum(axis=1) + ((sketch - qs) ** 2 * ws).sum(axis=1)
-        return total * unit
+
+        def weighed(a, b, w):
+            a, b, w = a.astype(float), b.astype(float), w.astype(float)
+            return (a * a * w).sum(axis=1)[:, None] - 2.0 * (a * w) @ b.T + (b * b * w).sum(axis=1)[None, :]
+
+        return ((qr[:, None] + residual[None, :]) * float(wr) + weighed(qc, coords, wc) + weighed(qs, sketch, ws)) * unit
 
 
 def train(x: np.ndarray, local_dim: int, sketch_dim: int, bits: int) -> Grain:

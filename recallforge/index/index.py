@@ -8,19 +8,26 @@ reranks against raw vectors where there are any, else against reconstructions.
 
 from __future__ import annotations
 
+import uuid
 import warnings
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.stats import l2
+from ..operators.knn import query_blocks
 from ..operators.topk import best_per, merge_unique
 from ..session import prepare
 from ..sources.files import Files
+from ..streaming.streams import shared_dir
 from . import grain as grains, kmeans, shared_pq, store
 
 CODES = "grain_id int, ordinal int, vec_id long, coords array<smallint>, residual int, sketch array<tinyint>, pq array<smallint>"
+FOUND = "query_id long, grain_id int, vec_id long, approx double, recon double"
 
 
 @dataclass
@@ -49,6 +56,7 @@ class GrainIndex:
     codes: DataFrame | None = None
     raw: DataFrame | None = None
     router: object = None
+    parts: tuple[str, ...] = ()
 
     def __post_init__(self):
         if not 0 < self.options.local_dim <= self.dim:
@@ -73,7 +81,7 @@ class GrainIndex:
         own = np.searchsorted(names, own)
         self.centroids = np.array([x[own == g].mean(axis=0) for g in range(len(names))])
         self._train(x, own)
-        self.codes = self._encode(vectors)
+        self._store(vectors)
         self.raw = vectors.select("vec_id", "embedding")
         return self
 
@@ -89,12 +97,24 @@ class GrainIndex:
                 shape = grains.adaptive_shape(x[own == g], o.adaptive, (1, o.local_dim), (0, o.sketch_dim), o.residual_bits, 8)
             self.models[g] = grains.train(x[own == g], *shape)
 
+    def _store(self, vectors: DataFrame, parts: tuple[str, ...] = ()) -> None:
+        """Encode vectors once, into files by grain in the shared folder, beside those of `parts`; a search reads the
+        folders of the grains it probes. Files are never changed, so a copy of this object keeps what it has."""
+        root = parts[0].rsplit("/", 1)[0] if parts else f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
+        path = f"{root}/batch={uuid.uuid4().hex}"
+        self._encode(vectors).write.partitionBy("grain_id").parquet(path)
+        self.parts = (*parts, path)
+        shape = self.spark.createDataFrame([], CODES).schema.add("batch", "string")
+        self.codes = self.spark.read.schema(shape).option("basePath", root).parquet(*self.parts).drop("batch")
+
+    def clone(self) -> "GrainIndex":
+        """An index of its own over the same files; changes of one aren't seen by the other."""
+        return replace(self, centroids=None if self.centroids is None else self.centroids.copy(), models=dict(self.models))
+
     def _encode(self, vectors: DataFrame) -> DataFrame:
         sent = self.spark.sparkContext.broadcast((self.centroids, self.models, self.shared))
 
         def run(it):
-            from ..functions.stats import l2
-
             centroids, models, shared = sent.value
             for pdf in it:
                 if not len(pdf):
@@ -117,10 +137,17 @@ class GrainIndex:
         """Encode rows with the grains' present parameters and append them; ids aren't replaced."""
         if self.centroids is None:
             return self.build(vectors, 1)
-        self.codes = self.codes.unionByName(self._encode(vectors))
+        self._store(vectors, self.parts) if self.parts else self._append(vectors)
         self.raw = None if self.raw is None else self.raw.unionByName(vectors.select("vec_id", "embedding"))
         return self
 
+    def _append(self, vectors: DataFrame) -> None:
+        """The same for an index whose codes were loaded from elsewhere."""
+        loaded = self.codes
+        self._store(vectors)
+        self.codes = loaded.unionByName(self.codes)
+        self.parts = ()
+
     def attach_raw_vectors(self, vectors: DataFrame) -> None:
         self.raw = vectors.select("vec_id", "embedding")
 
@@ -143,13 +170,11 @@ class GrainIndex:
             done += 1
         if done:
             _, x = self._sample(self.raw)
-            from ..functions.stats import l2
-
             own = l2(x, self.centroids).argmin(axis=1)
             full = np.unique(own)
             self.centroids = self.centroids[full]
             self._train(x, np.searchsorted(full, own))
-            self.codes = self._encode(self.raw)
+            self._store(self.raw)
             if self.router is not None:
                 self.router = store.router_from(store.router_parts(self.router), self.centroids)
         return done
@@ -168,35 +193,45 @@ class GrainIndex:
                 out.setdefault(int(g), []).append((i, q))
         return out
 
-    def _scan(self, queries: list[tuple[int, np.ndarray]], nprobe: int | None, keep: int) -> DataFrame:
-        """query_id, grain_id, vec_id, approx, recon (squared distance to the reconstruction)."""
-        probes = self._probes(queries, nprobe)
+    def _scan(self, queries: DataFrame, nprobe: int | None, keep: int) -> DataFrame:
+        """query_id, grain_id, vec_id, approx, recon (squared distance to the reconstruction): the best `keep` of
+        each query, grain and task. Queries go out in blocks; all queries of a grain are scored by matrix products."""
+        found = [self._scan_block([(r.query_id, np.array(r.embedding, float)) for r in rows], nprobe, keep) for rows in query_blocks(queries.select("query_id", "embedding"))]
+        if not found:
+            return self.spark.createDataFrame([], FOUND)
+        return reduce(DataFrame.unionAll, found)
+
+    def _scan_block(self, queries: list[tuple[int, np.ndarray]], nprobe: int | None, keep: int) -> DataFrame:
+        probes = {g: (np.array([i for i, _ in own]), np.array([q for _, q in own])) for g, own in self._probes(queries, nprobe).items()}
         sent = self.spark.sparkContext.broadcast((probes, self.models, self.shared))
         codes = self.codes.where(F.col("grain_id").isin(sorted(probes))) if len(probes) < len(self.centroids) else self.codes
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
 
         def run(it):
             probes, models, shared = sent.value
-            for pdf in it:
-                for g, part in pdf.groupby("grain_id"):
-                    m = models[int(g)]
-                    coords = np.array(part["coords"].tolist(), np.int64)
-                    ids = part["vec_id"].to_numpy()
+            for b in it:
+                grains_of = np.asarray(b.column(0), np.int64)
+                for g in np.unique(grains_of):
+                    part = b.filter(pa.array(grains_of == g))
+                    flat = lambda i: np.asarray(part.column(i).flatten(), np.int64).reshape(part.num_rows, -1)  # noqa: B023, E731
+                    m, (query_ids, q) = models[int(g)], probes[int(g)]
+                    ids, coords = np.asarray(part.column(1), np.int64), flat(2)
                     if shared is None:
-                        residual, sketch = part["residual"].to_numpy(np.int64), np.array(part["sketch"].tolist(), np.int64).reshape(len(part), -1)
+                        residual, sketch = np.asarray(part.column(3), np.int64), flat(4)
                         back, over = m.decode(coords, sketch), m.left_over(residual, sketch)
+                        recon = l2(q, back) + over
+                        approx = m.scores(q, coords, residual, sketch)
                     else:
-                        back, over = shared_pq.reconstruct(shared, m, coords, np.array(part["pq"].tolist(), int)), 0.0
-                    for i, q in probes.get(int(g), ()):
-                        recon = ((back - q) ** 2).sum(axis=1) + over
-                        approx = m.scores(q, coords, residual, sketch) if shared is None else recon
-                        at = np.lexsort((ids, approx))[:keep]
-                        yield pd.DataFrame({"query_id": np.full(len(at), i, np.int64), "grain_id": np.full(len(at), g, np.int32), "vec_id": ids[at], "approx": approx[at], "recon": recon[at]})
-
-        return codes.mapInPandas(run, "query_id long, grain_id int, vec_id long, approx double, recon double")
+                        approx = recon = l2(q, shared_pq.reconstruct(shared, m, coords, flat(5)))
+                    if keep < len(ids):
+                        cut = np.partition(approx, keep - 1, axis=1)[:, keep - 1 : keep]
+                        i, j = np.nonzero(approx <= cut)  # ties at the border stay
+                    else:
+                        i, j = np.nonzero(np.ones(approx.shape, bool))
+                    columns = query_ids[i], np.full(len(i), g), ids[j], approx[i, j], recon[i, j]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["query_id", "grain_id", "vec_id", "approx", "recon"])
 
-    @staticmethod
-    def _list(queries: DataFrame) -> list[tuple[int, np.ndarray]]:
-        return [(r[0], np.array(r[1], float)) for r in queries.select("query_id", "embedding").toLocalIterator()]
+        return codes.select("grain_id", "vec_id", "coords", "residual", "sketch", "pq").mapInArrow(run, FOUND)
 
     def _rerank(self, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if self.raw is not None:
@@ -214,14 +249,14 @@ class GrainIndex:
         quantized distances decide."""
         rf = self.options.rerank_factor
         keep = k * max(rf, 1)
-        found = best_per(self._scan(self._list(queries), nprobe, keep), ["query_id", "grain_id"], [F.asc("approx"), F.asc("vec_id")], keep).drop("rank")
+        found = best_per(self._scan(queries, nprobe, keep), ["query_id", "grain_id"], [F.asc("approx"), F.asc("vec_id")], keep).drop("rank")
         if rf == 0:
             return best_per(found, ["query_id"], [F.asc("approx"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", F.sqrt(F.greatest("approx", F.lit(0.0))).alias("distance"))
         return self._rerank(found, queries, k)
 
     def candidates(self, queries: DataFrame, candidate_k: int, nprobe: int | None = None) -> DataFrame:
         """The best candidate_k of the probed grains together: query_id, rank, vec_id, approx, recon, grain_id."""
-        found = self._scan(self._list(queries), nprobe, candidate_k)
+        found = self._scan(queries, nprobe, candidate_k)
         once = best_per(found, ["query_id", "vec_id"], [F.asc("approx"), F.asc("grain_id")], 1).drop("rank")
         return best_per(once, ["query_id"], [F.asc("approx"), F.asc("vec_id")], candidate_k)
 
@@ -244,7 +279,7 @@ class GrainIndex:
 
     def scan_below(self, queries: DataFrame, threshold: float, nprobe: int | None = None) -> DataFrame:
         """All rows whose quantized squared distance is below a threshold."""
-        return self._scan(self._list(queries), nprobe, 1 << 40).where(F.col("approx") < threshold)
+        return self._scan(queries, nprobe, 1 << 40).where(F.col("approx") < threshold)
 
     # -- keeping ---------------------------------------------------------------------------------
 

@@ -39,6 +39,39 @@ def _blocks(queries: DataFrame):
         yield np.array(ids), np.array(rows, float)
 
 
+def query_blocks(queries: DataFrame):
+    """Rows of the queries in lists of BLOCK at most, read to the driver one list at a time."""
+    held: list = []
+    for r in queries.toLocalIterator():
+        held.append(r)
+        if len(held) == BLOCK:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+class Best:
+    """The k nearest rows of each of n queries that a task has seen."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.ids, self.sq = k, [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
+
+    def add(self, i: int, ids: np.ndarray, sq: np.ndarray) -> None:
+        if len(sq) > 4 * self.k:  # ties at the border stay
+            at = sq <= np.partition(sq, self.k - 1)[self.k - 1]
+            ids, sq = ids[at], sq[at]
+        ids, sq = np.concatenate([self.ids[i], ids]), np.concatenate([self.sq[i], sq])
+        order = np.lexsort((ids, sq))[: self.k]
+        self.ids[i], self.sq[i] = ids[order], sq[order]
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        """query_id, vec_id, sq of all that is kept."""
+        n = [len(x) for x in self.ids]
+        columns = np.repeat(query_ids, n), np.concatenate([np.zeros(0, np.int64), *self.ids]), np.concatenate([np.zeros(0), *self.sq])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "sq"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, distance (L2): the k nearest vectors of each query, ties by smaller id."""
     spark, parts = prepare(vectors.sparkSession), []

@@ -3,30 +3,29 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 TOKEN = r"[a-z]{3,15}"
+#: Words that don't count (fixed values).
+STOP = ["the", "a", "of", "and", "to", "in", "is", "that", "it", "on", "for", "with", "as", "was", "at", "by", "an"]
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id and words: runs of 3 to 15 letters in lower case, without Spark's English stop words."""
-    found = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\b(" + TOKEN + r")\b"), F.lit(1)).alias("found"))
-    return StopWordsRemover(inputCol="found", outputCol="words", stopWords=StopWordsRemover.loadDefaultStopWords("english")).transform(found).select("doc_id", "words")
+    """doc_id and words: runs of 3 to 15 ASCII letters in lower case, without STOP."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\b(" + TOKEN + r")\b"), F.lit(1))
+    return docs.select("doc_id", F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda w: ~w.isin(STOP)).alias("words"))
 
 
-def tfidf(docs: DataFrame, most: int = 4096) -> DataFrame:
-    """doc_id, term, weight: relative frequency times ln((N + 1) / (df + 1)) + 1 over the `most` most
-    frequent terms, scaled to length 1."""
+def tfidf(docs: DataFrame) -> DataFrame:
+    """doc_id, term, weight: share of the document's words times ln((N + 1) / (df + 1)) + 1, scaled to length 1, over
+    all terms. Frequencies are joined by term, which Spark broadcasts only where they are few."""
     words = tokens(docs)
     n = words.count()
-    counts = words.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(most)
-    rows = counts.join(F.broadcast(df), "term")
-    total = rows.groupBy("doc_id").agg(F.sum("tf").alias("total"))
-    weighed = rows.join(total, "doc_id").withColumn("w", F.col("tf") / F.col("total") * (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0))
+    counts = words.select("doc_id", F.size("words").alias("total"), F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("total").alias("total"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    weighed = counts.join(df, "term").withColumn("w", F.col("tf") / F.col("total") * (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0))
     norm = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighed.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -7,13 +7,17 @@ pivots join the postings, weights are summed per block, the best blocks' rows ar
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.distance import l2_squared, linf
+from ..functions.distance import l2_squared
 from ..functions.stats import l2
+from ..operators.knn import Best, matrix, query_blocks
 from ..operators.topk import best_per
+from ..session import prepare
 from .blocks import balanced_blocks, farthest_first, guard
 
 POOL_FLOOR = 16
@@ -110,10 +114,35 @@ def route_blocks(queries: DataFrame, pivots: DataFrame, postings: DataFrame, pre
 
 
 def scan_blocks(queries: DataFrame, chosen: DataFrame, payload: DataFrame, pool: int, dim: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, distance: the nearest rows of the chosen blocks."""
-    rows = chosen.select("query_id", "block").join(payload.select("block", "vec_id", F.col("embedding").alias("__x")), "block").join(queries.select("query_id", "embedding"), "query_id")
-    d = rows.select("query_id", "vec_id", l2_squared(F.col("__x"), F.col("embedding"), dim).alias("sq"))
-    return best_per(d, ["query_id"], [F.asc("sq"), F.asc("vec_id")], pool).select("query_id", "rank", "vec_id", F.sqrt("sq").alias("distance"))
+    """query_id, rank, vec_id, distance: the nearest rows of the chosen blocks. Queries go out in blocks of BLOCK with their
+    lists; the payload (block, vec_id, embedding) is read once for each and isn't shuffled."""
+    spark, parts = prepare(payload.sparkSession), []
+    lists = chosen.groupBy("query_id").agg(F.sort_array(F.collect_list(F.col("block").cast("long"))).alias("blocks"))
+    held = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).join(lists, "query_id")
+    for rows in query_blocks(held):
+        probing: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            for block in r.blocks:
+                probing.setdefault(block, []).append(i)
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.embedding for r in rows], float), {b: np.array(i) for b, i in probing.items()}))
+
+        def near(it, sent=sent):
+            ids, q, probing = sent.value
+            best = Best(len(ids), pool)
+            for b in it:
+                if b.num_rows:
+                    v, own, block = matrix(b.column(2), q.shape[1]), np.asarray(b.column(1), np.int64), np.asarray(b.column(0), np.int64)
+                    for g in np.unique(block):
+                        for i in probing.get(int(g), ()):
+                            at = block == g
+                            best.add(i, own[at], ((v[at] - q[i]) ** 2).sum(axis=1))
+            yield best.batch(ids)
+
+        parts.append(payload.select(F.col("block").cast("long"), F.col("vec_id").cast("long"), "embedding").mapInArrow(near, "query_id long, vec_id long, sq double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double")
+    found = reduce(DataFrame.unionAll, parts)
+    return best_per(found, ["query_id"], [F.asc("sq"), F.asc("vec_id")], pool).select("query_id", "rank", "vec_id", F.sqrt("sq").alias("distance"))
 
 
 class DenseSketch:
@@ -145,8 +174,18 @@ class DenseSketch:
         return 4 * (self.x.size + self.means.size + self.pivots.size + self.sketch.size + len(self.x))
 
 
-def dense_route_blocks(query_pivots: DataFrame, block_pivots: DataFrame, top_blocks: int) -> DataFrame:
-    """query_id, rank, block, score from (query_id, dists) and a small model table (block, dists)."""
-    pairs = query_pivots.select("query_id", F.col("dists").alias("__q")).join(F.broadcast(block_pivots.select("block", F.col("dists").alias("__b"))))
-    scores = pairs.select("query_id", "block", linf(F.col("__q"), F.col("__b")).alias("score"))
-    return best_per(scores, ["query_id"], [F.asc(F.round("score", 9)), F.asc("block")], top_blocks)
+def dense_route(queries: DataFrame, sketch: DenseSketch) -> DataFrame:
+    """query_id, rank, block, score of the top_blocks blocks of each query; the sketch is a small model."""
+    sent = prepare(queries.sparkSession).sparkContext.broadcast(sketch)
+
+    def run(it):
+        for b in it:
+            own, found = sent.value, []
+            for i, q in zip(b.column(0).to_pylist(), matrix(b.column(1), sent.value.pivots.shape[1]) if b.num_rows else ()):
+                score = np.abs(own.sketch - np.sqrt(((own.pivots - q) ** 2).sum(axis=1))).max(axis=1)
+                order = np.lexsort((np.arange(len(score)), np.round(score, 9)))[: own.config.top_blocks]
+                found += [(i, rank, int(c), float(score[c])) for rank, c in enumerate(order, 1)]
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["query_id", "rank", "block", "score"])
+
+    return queries.select(F.col("query_id").cast("long"), "embedding").mapInArrow(run, "query_id long, rank int, block int, score double")

@@ -1,5 +1,9 @@
+import os
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from recallforge import catalog
@@ -37,6 +41,57 @@ def test_query(spark, data, sql, name):
         assert rows == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in want.fetchall())
 
 
+SEARCHES = ["nprobe_search_exact", "pivot_union_search", "mode_a_search", "mode_b_search", "pq_search", "tangent_route", "lattice_route", "hlr_route", "block_graph_route", "point_graph_route", "landmark_route", "spill_tree_route", "curve_route", "chunked_rerank"]
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_searches_reach_their_recall(spark, sf_dir):
+    """All ids divisible by 20 are queries, and at least 0.9 of their true ten nearest are found among all rows."""
+    from recallforge.operators import knn
+    from recallforge.session import prepare
+
+    if not os.path.isdir(sf_dir):
+        pytest.skip(f"no test data at {sf_dir}")
+    truth = catalog.knn_batch(prepare(spark), sf_dir).cache()
+    wanted = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+    low = {}
+    for name in SEARCHES:
+        found = catalog.QUERIES[name](spark, sf_dir)
+        recall = {r.query_id: r.recall for r in knn.recall_at(found, truth, 10).collect()}
+        assert set(recall) == wanted, name
+        low[name] = round(sum(recall.values()) / len(recall), 3)
+    print(low)
+    assert min(low.values()) >= 0.9, low
+
+
+def test_routers_place_every_row(spark, data):
+    n = spark.read.parquet(f"{data}/embeddings.parquet").count()
+    assert catalog.balanced_kmeans(spark, data).select("vec_id").distinct().count() == n
+
+
+def test_routed_search_scans_rows_outside_the_sample(spark, data):
+    """A router that was fitted to few rows still finds all others."""
+    from recallforge.operators import knn
+    from recallforge.routers import routed
+
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    means = routed.fit_blocks(rows, size=4, train=40)
+    found = routed.search(rows, routed.routes(queries, lambda q: np.arange(10)), means, 10)
+    key = lambda df: sorted((r.query_id, r.rank, r.vec_id, round(r.distance, 9)) for r in df.collect())
+    assert key(found) == key(knn.nearest(rows, queries, 10))
+
+
+def test_index_searches_read_only_the_probed_grains(spark, data):
+    index = catalog._index(spark, data)
+    queries = spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id = 40").select(F.col("vec_id").alias("query_id"), "embedding")
+    plan = index.search_mode_a(queries, 5, 2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "grain_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    other = index.clone()
+    other.insert(spark.createDataFrame([(-1, [0.5] * 64)], "vec_id long, embedding array<float>"))
+    assert other.codes.count() == index.codes.count() + 1
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

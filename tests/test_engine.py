@@ -397,7 +397,7 @@ def test_grain_codes():
     g = grain.train(x, 8, 4, 8)
     coords, residual, sketch = g.encode(x)
     assert np.abs(g.decode(coords, sketch) - x).max() < 0.05
-    order = np.argsort(g.scores(x[7], coords, residual, sketch))
+    order = np.argsort(g.scores(x[7], coords, residual, sketch)[0])
     assert order[0] == 7
     assert grain.adaptive_shape(x * np.array([1] + [0.001] * 7), 0.9, (1, 4), (0, 4), 2, 8)[0] == 1
     shared, grains = shared_pq.train(x, np.zeros(500, int), 4, 4, 4, True)
