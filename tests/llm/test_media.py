@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import time
 import zlib
 
 from recallforge.llm import media, queries
@@ -35,7 +36,12 @@ def test_documents(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     found = queries.op9_media(spark, data)
     assert got(found) == want(rows)
-    assert all(r.feature.startswith("audio/wav;declared=application/octet-stream;audio/wav@0-") for r in found.collect())
+    said = {}
+    for r in found.collect():
+        raw = (dict(rows)[r.doc_id] or "").encode()
+        said[r.doc_id] = declared = media.DECLARED[zlib.crc32(raw + b"\xff" * (r.payload_bytes - len(raw))) % 3]
+        assert r.feature == f"audio/wav;declared={declared};audio/wav@0-{r.media_bytes}"  # the texts hold no media
+    assert set(said.values()) == set(media.DECLARED)
 
 
 def test_odd_rows(spark, monkeypatch):
@@ -66,3 +72,29 @@ def test_carving_and_correction(spark):
     at = inner.index(GIF)
     assert carved == [(1, 4, "image/png", png()), (1, at, "image/gif", GIF), (2, 48, "image/png", png()), (2, 44 + at, "image/gif", GIF)]
     assert media.read_pcm(media.store_pcm(inner)) == inner
+
+
+def flac(frames=b"\xff\xf8abc"):
+    return b"fLaC" + b"\x00\x00\x00\x22" + b"s" * 34 + b"\x84\x00\x00\x03xyz" + frames
+
+
+def test_flac_ends_where_the_next_object_starts():
+    head = b"fLaC\x80\x00\x00\x22" + b"s" * 34
+    assert media.parts(b"xx" + head + b"zz" + png() + b"tail") == [("image/png", 46, 46 + len(png()))]
+    whole = b"xx" + flac() + png() + b"tail"
+    at = 2 + len(flac())
+    assert media.parts(whole) == [("audio/flac", 2, at), ("image/png", at, at + len(png()))]
+    assert media.parts(flac()) == [("audio/flac", 0, len(flac()))]
+
+
+def test_pdf_updates_belong_to_it():
+    one = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
+    updated = one + b"\n2 0 obj\nstartxref\n40\n%%EOF"
+    assert media.parts(b"a" + updated + b"b" + one) == [("application/pdf", 1, 1 + len(updated)), ("application/pdf", 2 + len(updated), 2 + len(updated) + len(one))]
+
+
+def test_hostile_objects_take_linear_time():
+    began = time.time()
+    for unit in (b"%PDF-1.4 ", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x05abc\xff\xda\x00\x02xx", b"fLaC\x00\x00\x00\x22" + b"s" * 34, b"GIF89a"):
+        assert media.parts(unit * (2_000_000 // len(unit))) == []
+    assert time.time() - began < 30
