@@ -11,10 +11,10 @@ gzip member per record. `assemble` joins request, response and metadata records
 concurrent-to identifiers, in either direction, and emits one nested row per capture.
 
 Size: `write` shuffles each payload once, by its digest, beside one narrow row per distinct payload; a
-payload that a third of all pages share is split by Spark's skew handling. A reader holds the archive
-files of one task, at most spark.sql.files.maxPartitionBytes or one file.
+payload that a third of all pages share is split by Spark's skew handling. Archives hold at most FILE_CAPTURES captures
+of up to LARGE bytes, or one larger capture. A reader holds one archive as it is stored and inflates it record by record.
 
-Defined cases: null html is the empty payload, which deduplicates like any other; a null page_id is
+Defined cases: of equal page_ids with different payloads each is a page of its own; very long payloads are archives of their own; null html is the empty payload, which deduplicates like any other; a null page_id is
 smallest and named by no header; rows that repeat page_id and payload of a response are responses
 too, with the same record id; a null url leaves out WARC-Target-URI; extra columns aren't read; an
 empty table gives an empty result.
@@ -34,8 +34,10 @@ from ._common import materialise, prepare, scratch_path
 CRLF = "\r\n"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Captures in a file at most.
-FILE_CAPTURES = 5000
+#: Captures in a file at most, and the bytes from which a payload has a file of its own.
+FILE_CAPTURES, LARGE = 1000, 1 << 20
+#: Bytes that are inflated at once.
+CHUNK = 1 << 20
 SCHEMA = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -82,44 +84,67 @@ def write(pages: DataFrame, path: str | None = None) -> str:
     )
     fields = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit(""))
     about = _record(F.lit("metadata"), _uuid("metadata", F.col("place"), F.col("page_id"), F.col("sha1")), fields, F.lit("application/warc-fields"), F.col("uri"), ("WARC-Concurrent-To: ", request))
-    out = rows.select(F.concat_ws(CRLF + CRLF, asked, got, about).alias("value"))
-    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+    out = rows.select("n", F.concat_ws(CRLF + CRLF, asked, got, about).alias("value"))
+    most = pages.agg(F.max(F.octet_length(html))).first()[0] or 0
+    for part, held in ((F.col("n") <= LARGE, FILE_CAPTURES), (F.col("n") > LARGE, 1)) if most > LARGE else ((F.lit(True), FILE_CAPTURES),):
+        out.where(part).select("value").write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", held).text(path)
     return path
 
 
-def _inflated(data: bytes) -> bytes:
-    """The bytes of a file, of one or more gzip members or plain."""
+def inflated(data: bytes):
+    """The bytes of a file, of one or more gzip members or plain, in pieces of about CHUNK."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join(out)
-
-
-def parse(data: bytes):
-    """(headers with lower-case names, block) of each record of an archive's bytes."""
+        yield data
+        return
     view, at = memoryview(data), 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
+    while at < len(view):
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            piece = z.unconsumed_tail or view[at : at + CHUNK]
+            if not len(piece):
+                raise ValueError("a gzip member is cut off")
+            if not z.unconsumed_tail:
+                at += len(piece)
+            yield z.decompress(piece, CHUNK)
+        at -= len(z.unused_data)
+
+
+def parse(data):
+    """(headers with lower-case names, block) of each record of an archive, given as bytes or as pieces of them."""
+    pieces, held, done, at = iter([data] if isinstance(data, bytes) else data), bytearray(), False, 0
+
+    def more() -> bool:
+        nonlocal done
+        piece = next(pieces, None)
+        done = piece is None
+        held.extend(piece or b"")
+        return not done
+
+    while True:
+        while not held and more():
+            pass
+        if not held:
+            return
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if not held.startswith(b"WARC/") or end < 0:
             raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
+        lines = held[:end].decode("utf-8", "replace").split(CRLF)[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        at = start + int(head["content-length"])
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record that ends at byte {at} has another length than it says")
-        yield head, view[start:at]
-        at += 4
+        size = end + 4 + int(head["content-length"])
+        while len(held) < size + 4 and more():
+            pass
+        if held[size : size + 4] != b"\r\n\r\n":
+            raise ValueError(f"record that ends at byte {at + size} has another length than it says")
+        yield head, bytes(held[end + 4 : size])
+        del held[: size + 4]
+        at += size + 4
 
 
-def _fields(head: dict, block: memoryview, payloads: bool) -> tuple:
+def _fields(head: dict, block: bytes, payloads: bool) -> tuple:
     kind, n, digest, payload, page = head["warc-type"], None, head.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None
     if kind == "response":
-        raw = bytes(block)
+        raw = block
         cut = raw.find(b"\r\n\r\n")
         payload = raw[cut + 4 :] if head.get("content-type", "").startswith("application/http") and cut >= 0 else raw
         own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -127,7 +152,7 @@ def _fields(head: dict, block: memoryview, payloads: bool) -> tuple:
             raise ValueError(f"payload of {head['warc-record-id']} doesn't have the digest it says")
         n, digest = len(payload), own
     elif kind == "metadata":
-        names = dict(x.partition(": ")[::2] for x in bytes(block).decode("utf-8", "replace").split(CRLF) if x)
+        names = dict(x.partition(": ")[::2] for x in block.decode("utf-8", "replace").split(CRLF) if x)
         page = int(names["page-id"]) if "page-id" in names else None
     return head["warc-record-id"], kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), page, n, digest, payload if payloads else None
 
@@ -142,7 +167,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for b in it:
             for data in b.column(0):
                 rows, held = [], 0
-                for head, block in parse(_inflated(data.as_py())):
+                for head, block in parse(inflated(data.as_py())):
                     rows.append(_fields(head, block, payloads))
                     held += len(block)
                     if held > 32_000_000:

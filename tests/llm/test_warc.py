@@ -56,6 +56,25 @@ def test_concurrent_to_in_the_other_direction(spark):
 
 def test_parse_of_other_archives():
     one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
-    assert [bytes(b) for _, b in warc.parse(warc._inflated(gzip.compress(one) + gzip.compress(one)))] == [b"ab", b"ab"]
+    assert [bytes(b) for _, b in warc.parse(warc.inflated(gzip.compress(one) + gzip.compress(one)))] == [b"ab", b"ab"]
     with pytest.raises(ValueError):
         list(warc.parse(one[:-4] + b"c\r\n\r\n"))
+
+
+def test_archives_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 7)
+    blocks = [b"x" * n for n in (0, 1, 100, 5000)]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: t\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    for whole in (data, gzip.compress(data), b"".join(gzip.compress(data[i : i + 40]) for i in range(0, len(data), 40))):
+        assert [b for _, b in warc.parse(warc.inflated(whole))] == blocks
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.inflated(gzip.compress(data)[:-9])))
+
+
+def test_large_payloads_have_files_of_their_own(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    pages = [(i, "u", "y" * (5000 if i % 4 == 0 else 10) + str(i % 5)) for i in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = warc.write(df, f"file://{tmp_path}/out")
+    assert rows(warc.captures(spark, path)) == brute([(p, h) for p, _, h in pages])
+    assert all(sum("y" * 5000 in b.decode() for _, b in warc.parse(warc.inflated(f.read_bytes()))) <= 1 for f in (tmp_path / "out").glob("part-*"))
