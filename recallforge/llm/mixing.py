@@ -10,14 +10,14 @@ times all words. A target stops at `most` times its source's words and the exces
 weight among the others until none is above: a water level, found by rounds of one aggregation that
 each return three sums to the driver. The sources' table stays distributed.
 
-Defined cases: null text has size 0; sources without words get target 0 and rate 0; repeated rows of
+Defined cases: null text has size 0; very long texts count whole; sources of equal size (ties) keep the order of their code points; sources without words get target 0 and rate 0; repeated rows of
 one doc_id draw the same number; a null doc_id draws as the empty string; only doc_id, text and source
 are read, other columns pass through `mix`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._common import materialise
 
@@ -31,12 +31,16 @@ def size_of(text: Column) -> Column:
 
 
 def _weighed(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """sources (source, words) with w, by place in the order of code points; places come from a
-    distributed sort, a count per partition and nothing else."""
-    shape = T.StructType([T.StructField("source", T.StringType()), T.StructField("words", T.LongType()), T.StructField("w", T.DoubleType())])
-    ordered = sources.orderBy(F.col("source").asc_nulls_last())
-    placed = ordered.rdd.zipWithIndex().map(lambda x: (x[0]["source"], x[0]["words"], float(weights[x[1] % len(weights)])))
-    return sources.sparkSession.createDataFrame(placed, shape)
+    """sources (source, words) with w, by place in the order of code points. Places come from a distributed sort:
+    the rows before a partition, counted per partition, and the row's number in its own."""
+    ordered = sources.orderBy(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id())
+    ordered = materialise(ordered, "ordered")
+    first = ordered.groupBy("part").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    first = first.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("nth") - F.col("first")
+    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights)).cast("int"))
+    return ordered.join(F.broadcast(first), "part").select("source", "words", w.alias("w"))
 
 
 def targets(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
