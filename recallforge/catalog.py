@@ -173,11 +173,20 @@ def recall_merge_ties(spark, sf_dir):
     return top.select("segment_id", "rank", "record_id", F.round("score", 6).alias("score"))
 
 
-@_register("""SELECT segment_id, count(*) AS records_total, count(*) FILTER (scope_id = 5) AS candidates_after_filters,
-    count(*) FILTER (scope_id = 5 AND list_contains(symbols, 'en')) AS candidates_after_symbols FROM records GROUP BY segment_id""", True)
+@_register("""SELECT segment_id, false AS pruned, NULL::VARCHAR AS prune_reason, count(*) AS records_total, count(*) FILTER (scope_id = 5) AS candidates_after_filters,
+    count(*) FILTER (scope_id = 5 AND list_contains(symbols, 'en')) AS candidates_after_symbols, 'all' AS vector_generator,
+    count(*) FILTER (scope_id = 5 AND list_contains(symbols, 'en')) AS vector_candidates, count(*) FILTER (scope_id = 5 AND list_contains(symbols, 'en')) AS semantic_evals,
+    least(10, count(*) FILTER (scope_id = 5 AND list_contains(symbols, 'en')))::BIGINT AS returned, 0::BIGINT AS cold_bytes_read, 1.0::DOUBLE AS read_amplification,
+    'column_filters,symbol_postings,semantic_rerank' AS access_paths FROM records GROUP BY segment_id""", True)
 def recall_trace(spark, sf_dir):
-    found = trace.recall_trace(records_view(spark, sf_dir), RecallQuery(scope_id=5, symbols=["en"]))
-    return found.select("segment_id", "records_total", "candidates_after_filters", "candidates_after_symbols")
+    found = trace.recall_trace(records_view(spark, sf_dir), RecallQuery(embedding=_vector(spark, sf_dir), scope_id=5, symbols=["en"]))
+    return found.withColumn("access_paths", F.array_join("access_paths", ","))
+
+
+@_register("SELECT segment_id, local_id::INTEGER AS local_id FROM records WHERE list_has_all(symbols, ['en', 'scope-4'])", True)
+def postings_intersection(spark, sf_dir):
+    found = filters.posted(filters.postings(records_view(spark, sf_dir)), [" EN", "Scope-4"])
+    return found.select("segment_id", F.col("local_id").cast("int").alias("local_id"))
 
 
 @_register("SELECT segment_id, local_id::INTEGER AS local_id FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY local_id) AS n FROM records WHERE lang = 'en') WHERE n <= 7", True)
@@ -276,17 +285,27 @@ def space_lifecycle(spark, sf_dir):
         space.insert_many(rows.drop("segment_id", "local_id"))
         space.flush()
         space.insert_many(live)
-        space.delete(*[r[0] for r in gone.collect()])
+        space.delete_many(gone)
         return _hits(space.recall(RecallQuery(embedding=_vector(spark, sf_dir))))
 
 
 @_register(f"""WITH {_LATEST}, {RECORDS_SQL} SELECT segment_id, record_id, confidence FROM records WHERE record_id NOT IN (SELECT record_id FROM latest)
     UNION ALL SELECT 10, record_id, 0.99::FLOAT FROM records WHERE record_id IN (SELECT record_id FROM latest WHERE op = 'insert')""")
 def flush_compaction(spark, sf_dir):
+    """A space of ten segments whose log replaces and deletes records, after a flush."""
+    from .schema import RECORD
+    from .space import Collection
+    from .streaming.streams import shared_dir
+
     rows, live, gone = _tiers(spark, sf_dir)
-    shadow = live.select("record_id").unionAll(gone)
-    kept = filters.unshadowed(rows, shadow).select("segment_id", "record_id", "confidence")
-    return kept.unionAll(live.select(F.lit(10).cast("long"), "record_id", "confidence"))
+    with Collection(spark, f"{shared_dir(spark)}/space-{uuid.uuid4().hex}", flush_at=1 << 60).space as space:
+        names = [f.name for f in RECORD.fields]
+        refs = [space._write_segment(rows.where(F.col("segment_id") == s).select(*names), s, None) for s in range(10)]
+        space._publish(refs, 0)
+        space.insert_many(live)
+        space.delete_many(gone)
+        space.flush()
+        return space.segment_records().select("segment_id", "record_id", "confidence")
 
 
 # -- quantization and statistics ------------------------------------------------------------------------
@@ -438,9 +457,12 @@ def pq_search(spark, sf_dir):
     return _found(_index(spark, sf_dir, shared_parts=8, shared_bits=4, shared_rotate=True, local_dim=32).search_mode_b(_queries(spark, sf_dir), 10, 200, 7))
 
 
-@_register("SELECT count(*) AS rows FROM embeddings")
+@_register("SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, count(*) * (16 * 2 + 2 + 8) AS bytes FROM embeddings")
 def index_rows(spark, sf_dir):
-    return _index(spark, sf_dir).stats().agg(F.sum("rows").alias("rows"))
+    """Rows, ids and stored bytes of an index of 16 coordinates, a residual and a sketch of 8 values."""
+    index = _index(spark, sf_dir)
+    found = index.codes.agg(F.count("*").alias("rows"), F.countDistinct("vec_id").alias("ids"))
+    return found.withColumn("bytes", F.lit(index.encoded_bytes()).cast("long"))
 
 
 @_register(_KNN)
@@ -565,16 +587,33 @@ def tfidf_projection(spark, sf_dir):
     return found.select("doc_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("embedding"))
 
 
-@_register("SELECT vec_id, 64 AS n FROM embeddings")
+_ULP = "pow(2.0::DOUBLE, greatest(floor(log2(abs(v::DOUBLE))), -14) - 10)"
+
+
+@_register(f"SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v = 0 THEN 0.0 ELSE round_even(v::DOUBLE / {_ULP}, 0) * {_ULP} END) AS half FROM embeddings")
 def f16_roundtrip(spark, sf_dir):
-    """Half floats read back: how many of a vector's values are within half a unit in the last place."""
+    """Vectors read back from half floats: each value is the nearest of eleven significant bits."""
     from .sources import cold
 
     rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("local_id"), "embedding")
-    back = cold.decode(cold.encode(rows, "f16"), "f16").withColumnRenamed("embedding", "half")
-    near = F.zip_with("embedding", "half", lambda a, b: F.abs(a.cast("double") - b) <= F.greatest(F.abs(a.cast("double")) / 2048, F.lit(2.0**-25)))
-    both = rows.join(back, "local_id")
-    return both.select(F.col("local_id").cast("long").alias("vec_id"), F.size(F.filter(near, lambda ok: ok)).alias("n"))
+    back = cold.decode(cold.encode(rows, "f16"), "f16")
+    return back.select(F.col("local_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("half"))
+
+
+@_register("""SELECT vec_id, list_transform(embedding, lambda v: greatest(-128, least(127, round_even(v::DOUBLE / a, 0)))::INTEGER) AS i8,
+    list_transform(embedding, lambda v: greatest(0, least(65535, round_even(v::DOUBLE / b, 0)))::INTEGER) AS u16
+    FROM (SELECT *, list_max(list_transform(embedding, lambda v: abs(v::DOUBLE))) / 127.0::DOUBLE AS a, CASE WHEN list_max(embedding) > 0 THEN list_max(embedding)::DOUBLE / 65535.0::DOUBLE ELSE 1 END AS b FROM embeddings)""")
+def quantize_i8_u16(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").withColumns({k: q8.scale_of(F.col("embedding"), k) for k in ("i8", "u16")})
+    codes = lambda k: F.transform("embedding", lambda v: q8.quantize(v.cast("double"), F.col(k), k)).alias(k)
+    return rows.select("vec_id", codes("i8"), codes("u16"))
+
+
+@_register("""SELECT doc_id, CASE WHEN n_chars > 0 AND doc_id % 7 > 0 THEN greatest(1, least(32767, round(n_chars / (doc_id % 7)::DOUBLE)))::BIGINT ELSE 1 END AS weight FROM documents""")
+def integer_weights(spark, sf_dir):
+    """Whole-number weights of scales by units, zero units among them."""
+    rows = _read(spark, sf_dir, "documents")
+    return rows.select("doc_id", q8.integer_weight(F.col("n_chars").cast("double"), (F.col("doc_id") % 7).cast("double"), 32767).alias("weight"))
 
 
 @_register()

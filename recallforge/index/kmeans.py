@@ -1,10 +1,8 @@
-"""Clusterings: two means, balanced means (sequential, bounded), and distributed means for large data."""
+"""Clusterings of a bounded matrix: two means and balanced means."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
-
 from ..functions.stats import l2
 from ..routers.blocks import farthest_first, guard, with_capacity
 
@@ -36,12 +34,3 @@ def balanced(x: np.ndarray, k: int) -> np.ndarray:
         own = new
         means = np.array([x[own == c].mean(axis=0) if (own == c).any() else means[c] for c in range(k)])
     return own
-
-
-def distributed_centroids(vectors: DataFrame, k: int, seed: int = 1) -> np.ndarray:
-    """Centroids of all vectors by Spark's own k-means (k rows on the driver)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return np.array(KMeans(k=k, seed=seed, maxIter=ROUNDS).fit(rows).clusterCenters())

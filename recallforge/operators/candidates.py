@@ -19,6 +19,8 @@ DEFAULT_BUDGET = 128
 
 class CandidateGenerator(ABC):
     name = "custom"
+    #: Whether candidates are known to be among the filtered records; those of others are checked.
+    trusted = False
 
     @abstractmethod
     def candidates(self, records: DataFrame, query: RecallQuery) -> DataFrame:
@@ -37,7 +39,7 @@ def budget_of(query: RecallQuery) -> int:
 class Flat(CandidateGenerator):
     """The first `budget` records of each segment by local id; all without a budget."""
 
-    name = "flat"
+    name, trusted = "flat", True
 
     def candidates(self, records: DataFrame, query: RecallQuery) -> DataFrame:
         rows = records.select("segment_id", "local_id")
@@ -49,7 +51,7 @@ class Flat(CandidateGenerator):
 class ArrayLike(CandidateGenerator):
     """The nearest `budget` records of each segment by squared distance, ties by local id."""
 
-    name = "array_like"
+    name, trusted = "array_like", True
 
     def candidates(self, records: DataFrame, query: RecallQuery) -> DataFrame:
         if query.embedding is None:

@@ -94,6 +94,22 @@ def stray_candidates(candidates: DataFrame, upstream: DataFrame) -> DataFrame:
     return candidates.join(upstream, ["segment_id", "local_id"], "left_anti")
 
 
+def refused(candidates: DataFrame, upstream: DataFrame) -> DataFrame:
+    """candidates, each once; a query over them fails if one isn't among the upstream rows."""
+    known = upstream.select("segment_id", "local_id", F.lit(True).alias("__known"))
+    both = candidates.distinct().join(known, ["segment_id", "local_id"], "left")
+    stray = F.raise_error(F.concat(F.lit("a generator proposed a record that the filters dropped: "), F.col("segment_id").cast("string"), F.lit("/"), F.col("local_id").cast("string")))
+    return both.select(F.when(F.col("__known"), F.col("segment_id")).otherwise(stray.cast("long")).alias("segment_id"), "local_id")
+
+
+def posted(postings: DataFrame, symbols: list[str]) -> DataFrame:
+    """segment_id and local_id of the records that have all symbols, by intersecting their lists."""
+    wanted = list(dict.fromkeys(normal_symbol_py(s) for s in symbols))
+    lists = postings.where(F.col("symbol").isin(wanted)).groupBy("segment_id").agg(F.collect_list("local_ids").alias("lists"))
+    common = F.aggregate(F.slice("lists", F.lit(2), F.lit(len(wanted))), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
+    return lists.where(F.size("lists") == len(wanted)).select("segment_id", F.explode(common).alias("local_id"))
+
+
 def postings(records: DataFrame) -> DataFrame:
     """segment_id, symbol, records, local_ids (sorted): the inverted lists of normal symbols.
 

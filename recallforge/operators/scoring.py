@@ -34,11 +34,3 @@ def scored(records: DataFrame, q: RecallQuery, squared: bool = False) -> DataFra
     rows = records.withColumns({"semantic_distance": semantic_distance(q, squared), "symbol_matches": symbol_matches(q)})
     score = -F.col("semantic_distance") + MATCH_WEIGHT * F.col("symbol_matches") + SYMBOL_WEIGHT * F.size(F.array_distinct("symbols")) + F.col("confidence").cast("double")
     return rows.withColumn("score", score)
-
-
-def read_amplification(cold_bytes: Column, returned: Column, dim: int, recon: bool = False) -> Column:
-    """Cold bytes read over the bytes of what is returned; 1.0 if none were needed, 0.0 on reconstruction."""
-    if recon:
-        return F.lit(0.0)
-    needed = returned * F.lit(dim * 4)
-    return F.when((cold_bytes > 0) & (needed > 0), cold_bytes / needed).otherwise(F.lit(1.0))

@@ -19,6 +19,7 @@ from ..functions.distance import l2_squared
 from ..operators.candidates import CandidateGenerator, budget_of
 from ..operators.filters import RecallQuery
 from ..operators.topk import best_per
+from ..routers.blocks import GUARD
 from ..session import prepare
 
 DIRECT_AT_MOST = 256
@@ -31,6 +32,8 @@ class PlannerConfig:
     tangent_min_rows: int = 256
     pivot_min_rows: int = 256
     direct_at_most: int = DIRECT_AT_MOST
+    #: Survivors of a segment up to which a router is built; larger ones take the nearest by distance.
+    route_at_most: int = GUARD
 
 
 def widened(budget: int, n: int) -> int:
@@ -41,19 +44,20 @@ def plan(records: DataFrame, query: RecallQuery, config: PlannerConfig = Planner
     """segment_id, survivors, selected_path, candidate_budget of each segment with survivors."""
     n = records.groupBy("segment_id").agg(F.count("*").alias("survivors"), F.max(F.col("cold")).alias("cold") if "cold" in records.columns else F.lit(False).alias("cold"))
     budget = F.least(F.lit(budget_of(query)).cast("long"), F.col("survivors"))
+    small = F.col("survivors") <= config.route_at_most
     path = (
         F.when(F.col("cold"), "direct_rerank")
         .when(F.lit(query.embedding is None), "missing_embedding")
         .when(F.col("survivors") <= config.direct_at_most, "direct_rerank")
-        .when(F.lit(config.tangent) & (F.col("survivors") >= config.tangent_min_rows), "tangent")
-        .when(F.lit(config.pivot) & (F.col("survivors") >= config.pivot_min_rows), "pivot_prefix")
+        .when(F.lit(config.tangent) & small & (F.col("survivors") >= config.tangent_min_rows), "tangent")
+        .when(F.lit(config.pivot) & small & (F.col("survivors") >= config.pivot_min_rows), "pivot_prefix")
         .otherwise("array_like")
     )
     return n.select("segment_id", "survivors", path.alias("selected_path"), F.when(path == "direct_rerank", F.col("survivors")).otherwise(budget).alias("candidate_budget"))
 
 
 class Planner(CandidateGenerator):
-    name = "planner"
+    name, trusted = "planner", True
 
     def __init__(self, config: PlannerConfig = PlannerConfig()):
         self.config = config

@@ -31,9 +31,18 @@ def deletes(spark: SparkSession, ids: list[int], first: int) -> DataFrame:
     return rows.withColumn("record", F.lit(None).cast(RECORD))
 
 
+def deletes_of(ids: DataFrame, first: int) -> DataFrame:
+    """The same for a column record_id."""
+    rows = ids.select((F.monotonically_increasing_id() + first).alias("seq"), F.lit("delete").alias("op"), F.col("record_id").cast("long"))
+    return rows.withColumn("record", F.lit(None).cast(RECORD))
+
+
 class OpLog:
+    """Numbers have 63 bits. A batch of p tasks takes p * 2 ** 33 of them, so a log holds 2 ** 30 tasks' batches."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path, Files(spark)
+        self._sound: set[str] = set()
         self.files.mkdirs(f"{path}/commits")
 
     def batches(self) -> list[dict]:
@@ -65,16 +74,23 @@ class OpLog:
             self.files.create(f"{self.path}/commits/{first:020d}.json", json.dumps(commit).encode())
         return n
 
+    def rows(self, since: int = 0) -> int:
+        """How many rows the commits of the batches from `since` on name."""
+        return sum(b["n"] for b in self.batches() if b["next"] > since)
+
     def read(self, since: int = 0, verify: bool = True) -> DataFrame:
-        """Rows numbered `since` on. A batch whose rows are missing or changed is an error."""
+        """Rows numbered `since` on. A batch whose rows are missing or changed is an error; each is looked at once by
+        a handle."""
         batches = [b for b in self.batches() if b["next"] > since]
         if not batches:
             return self.spark.createDataFrame([], OPLOG)
         rows = self.spark.read.schema(OPLOG).parquet(*[b["data"] for b in batches])
-        if verify:
-            found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("checksum") == checksum(), 0).otherwise(1)), F.lit(0)).alias("bad")).first()
-            if found.bad or found.n != sum(b["n"] for b in batches):
-                raise ValueError(f"the operation log is damaged: {found.bad} rows with a wrong checksum, {found.n} rows of {sum(b['n'] for b in batches)}")
+        new = [b for b in batches if json.dumps(b) not in self._sound]
+        if verify and new:
+            found = self.spark.read.schema(OPLOG).parquet(*[b["data"] for b in new]).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("checksum") == checksum(), 0).otherwise(1)), F.lit(0)).alias("bad")).first()
+            if found.bad or found.n != sum(b["n"] for b in new):
+                raise ValueError(f"the operation log is damaged: {found.bad} rows with a wrong checksum, {found.n} rows of {sum(b['n'] for b in new)}")
+            self._sound |= set(map(json.dumps, new))
         return rows.where(F.col("seq") >= since)
 
     def repair(self) -> int:

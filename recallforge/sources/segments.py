@@ -46,10 +46,8 @@ def read(spark: SparkSession, refs: list[SegmentRef], verify: bool = False) -> D
 
 def violations(records: DataFrame) -> DataFrame:
     """segment_id, rule, rows: broken layout rules, an empty result for sound segments."""
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("segment_id")
-    rows = records.withColumn("__dim", F.max(F.size("embedding")).over(own))
+    dims = records.groupBy("segment_id").agg(F.max(F.size("embedding")).alias("__dim"))
+    rows = records.join(dims, "segment_id")
     rules = {
         "record_id": F.col("record_id").isNotNull() & (F.col("record_id") >= 0), "dimension": F.size("embedding") == F.col("__dim"),
         "finite": F.forall("embedding", finite) & finite(F.col("confidence")), "symbols": F.col("symbols") == normal_symbols(F.col("symbols")),

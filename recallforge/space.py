@@ -6,7 +6,11 @@ manifest. Files are never changed in place; `collect_garbage` deletes those that
 
 from __future__ import annotations
 
+import json
+import os
+import socket
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
@@ -14,19 +18,36 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import recall as recalls
 from .operators.candidates import CandidateGenerator
-from .operators.filters import RecallQuery
+from .operators.filters import RecallQuery, matching
 from .schema import RECORD, STORED, checked
 from .sources import cold, oplog, segments
 from .sources.files import Files
 from .sources.manifest import Manifest, SegmentRef, sidecar_problem
 
 FLUSH_AT = 5000
+#: Segments that a flush writes at the same time.
+AT_ONCE = 4
+
+
+def _abandoned(lock: bytes) -> bool:
+    """Whether a lock's writer was a process of this host that isn't there any more."""
+    try:
+        owner = json.loads(lock)
+        if owner["host"] != socket.gethostname():
+            return False
+        os.kill(int(owner["pid"]), 0)
+    except ProcessLookupError:
+        return True
+    except (ValueError, KeyError, TypeError, PermissionError):
+        return False
+    return False
 
 
 class MemorySpace:
-    """A handle on one branch. Writers hold the branch's lock from open to close."""
+    """A handle on one branch. Writers hold the branch's lock from open to close. The lock of a process of this host
+    that has died is taken over; take_over does so for one of another host, which only the caller can know is gone."""
 
-    def __init__(self, spark: SparkSession, root: str, manifest_path: str, write: bool = True, flush_at: int = FLUSH_AT, raw_dram_budget: int | None = None, vector_encoding: str | None = None, verify: bool = False):
+    def __init__(self, spark: SparkSession, root: str, manifest_path: str, write: bool = True, flush_at: int = FLUSH_AT, raw_dram_budget: int | None = None, vector_encoding: str | None = None, verify: bool = False, take_over: bool = False):
         self.spark, self.root, self.manifest_path = spark, root.rstrip("/"), manifest_path
         self.files, self.flush_at, self.raw_dram_budget, self.vector_encoding = Files(spark), flush_at, raw_dram_budget, vector_encoding
         self.manifest = Manifest.read(self.files, manifest_path)
@@ -42,8 +63,11 @@ class MemorySpace:
         self._lock = f"{self.log.path}/_lock" if write else None
         if self._lock:
             if self.files.exists(self._lock):
-                raise RuntimeError(f"another writer holds {self._lock}")
-            self.files.create(self._lock, uuid.uuid4().hex.encode())
+                if not (take_over or _abandoned(self.files.read(self._lock))):
+                    raise RuntimeError(f"another writer holds {self._lock}")
+                self.notes.append("took over the lock of a writer that is gone")
+                self.files.delete(self._lock)
+            self.files.create(self._lock, json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "id": uuid.uuid4().hex}).encode())
         self._tier = None
         if raw_dram_budget is not None and write:
             self._enforce_budget()
@@ -67,15 +91,18 @@ class MemorySpace:
             self._tier = tuple(oplog.replay(self.log.read(self.manifest.log_from)))
         return self._tier
 
-    def segment_records(self, refs: list[SegmentRef] | None = None) -> DataFrame:
-        """Records of the segments, embeddings of cold ones decoded; column cold says which those are."""
+    def segment_records(self, refs: list[SegmentRef] | None = None, query: RecallQuery | None = None) -> DataFrame:
+        """Records of the segments, embeddings of cold ones decoded; column cold says which those are. With a query, of
+        cold segments only records that pass its filters, and no other vector of theirs is read to the end."""
         refs = self.manifest.segments if refs is None else refs
         hot = [r for r in refs if r.tier == "hot"]
         parts = [segments.read(self.spark, hot).withColumn("cold", F.lit(False))]
         for r in refs:
             if r.tier != "hot":
-                vectors = cold.read(self.spark, r.cold_path, r.encoding)
-                rows = segments.read(self.spark, [r]).drop("embedding").join(vectors, "local_id")
+                rows = segments.read(self.spark, [r]).drop("embedding")
+                rows = rows if query is None else matching(rows, query)
+                vectors = cold.read(self.spark, r.cold_path, r.encoding, rows if query is not None else None)
+                rows = rows.join(vectors, "local_id")
                 parts.append(rows.select(*[f.name for f in STORED.fields]).withColumn("cold", F.lit(True)))
         return reduce(DataFrame.unionAll, parts)
 
@@ -94,7 +121,7 @@ class MemorySpace:
     def recall(self, query: RecallQuery, generator: CandidateGenerator | None = None, strict_compat: bool = False) -> DataFrame:
         live, gone = self.memory()
         keep, _ = self.pruned(query)
-        return recalls.recall(self.segment_records(keep), query, generator, live, gone, strict_compat)
+        return recalls.recall(self.segment_records(keep, query), query, generator, live, gone, strict_compat)
 
     def trace(self, query: RecallQuery, generator: CandidateGenerator | None = None) -> DataFrame:
         from .plans.trace import recall_trace
@@ -136,7 +163,7 @@ class MemorySpace:
         if len(dims) == 1:
             rows = checked(rows, dims.pop())
         self._append(lambda first: oplog.inserts(rows, first))
-        if self.memory()[0].count() >= self.flush_at:
+        if self.log.rows(self.manifest.log_from) >= self.flush_at and self.memory()[0].count() >= self.flush_at:
             self.flush()
         elif self.raw_dram_budget is not None:
             self._enforce_budget()
@@ -148,6 +175,10 @@ class MemorySpace:
         """Delete records, known or not."""
         self._append(lambda first: oplog.deletes(self.spark, list(record_ids), first))
 
+    def delete_many(self, ids: DataFrame) -> None:
+        """Delete the records of a column record_id, which stays distributed."""
+        self._append(lambda first: oplog.deletes_of(ids, first))
+
     def _write_segment(self, rows: DataFrame, segment_id: int, encoding: str | None) -> SegmentRef:
         path = f"{self.root}/segments/{segment_id}-{uuid.uuid4().hex}"
         ref = segments.write(rows, path, segment_id)
@@ -181,15 +212,14 @@ class MemorySpace:
         n_live = live.count()
         if upto == self.manifest.log_from and not n_live:
             return
-        refs = []
-        for s in self.manifest.segments:
+        def kept(s: SegmentRef) -> SegmentRef:
             if s.segment_id not in touched:
-                refs.append(s)
-                continue
+                return s
             left = self.segment_records([s]).join(shadow, "record_id", "left_anti")
-            new = self._write_segment(left.select(*[f.name for f in RECORD.fields]), s.segment_id, s.encoding)
-            if new.n:
-                refs.append(new)
+            return self._write_segment(left.select(*[f.name for f in RECORD.fields]), s.segment_id, s.encoding)
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            refs = [r for r in pool.map(kept, self.manifest.segments) if r.n]
         if n_live:
             refs.append(self._write_segment(live, max([s.segment_id for s in self.manifest.segments], default=0) + 1, self.vector_encoding))
         self._publish(refs, upto)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.files import Files
 from ..sources.oplog import latest
 
 
@@ -38,10 +39,10 @@ class LatestSink:
         if number > 0:
             rows = latest(spark.read.parquet(f"{self.path}/v{number - 1}").unionByName(rows))
         rows.write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        if number > 1:  # the version before may still be read, and be needed if this batch runs again
+            Files(spark).delete(f"{self.path}/v{number - 2}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        from ..sources.files import Files
-
         versions = [int(n[1:]) for n in Files(spark).names(self.path) if n.startswith("v")]
         return spark.read.parquet(f"{self.path}/v{max(versions)}")
 

@@ -512,3 +512,62 @@ def test_session_windows_and_stream(spark, tmp_path):
     sink(spark.createDataFrame([(2, "delete", 1)], "seq long, op string, record_id long"), 1)
     sink(spark.createDataFrame([(2, "delete", 1)], "seq long, op string, record_id long"), 1)  # run again after a failure
     assert sorted((r.record_id, r.op) for r in sink.read(spark).collect()) == [(1, "delete"), (2, "insert")]
+
+
+def test_stray_candidates_are_refused(spark):
+    from recallforge.operators.candidates import CandidateGenerator
+
+    class Stray(CandidateGenerator):
+        def __init__(self, rows):
+            self.rows = rows
+
+        def candidates(self, records, query):
+            return records.sparkSession.createDataFrame(self.rows, "segment_id long, local_id int")
+
+    rows = frame(spark, [row(1), row(2, scope=8), row(3)])
+    assert ids(recall.recall(rows, RecallQuery(scope_id=7), Stray([(1, 1), (1, 1)]))) == [1]
+    with pytest.raises(Exception, match="filters dropped"):
+        recall.recall(rows, RecallQuery(scope_id=7), Stray([(1, 1), (1, 2)])).collect()
+
+
+def test_a_dead_writers_lock_is_taken_over(spark, tmp_path):
+    import socket
+
+    at = f"file://{tmp_path}/c"
+    c = Collection(spark, at)
+    lock = c.space._lock
+    with pytest.raises(RuntimeError):
+        Collection(spark, at)
+    files = c.space.files
+    files.delete(lock)
+    files.create(lock, json.dumps({"host": socket.gethostname(), "pid": 2**22 + 12345, "id": "x"}).encode())
+    again = Collection(spark, at)
+    assert again.space.notes == ["took over the lock of a writer that is gone"]
+    again.close()
+    files.create(lock, json.dumps({"host": "another", "pid": 1, "id": "x"}).encode())
+    with pytest.raises(RuntimeError):
+        Collection(spark, at)
+    Collection(spark, at, take_over=True).close()
+
+
+def test_large_segments_are_planned_without_a_router(spark):
+    rows = spark.range(40).selectExpr("1L AS segment_id", "cast(id AS int) AS local_id", "array(cast(id AS float), 0f) AS embedding")
+    query = RecallQuery(embedding=[3.0, 0.0], candidate_budget=4)
+    config = planner.PlannerConfig(tangent_min_rows=10, pivot_min_rows=10, direct_at_most=5, route_at_most=30)
+    found = planner.Planner(config).traced(rows, query).collect()
+    assert {r.selected_path for r in found} == {"array_like"} and len(found) == 4
+
+
+def test_morton_interleaves_the_first_coordinate_highest():
+    key = int.from_bytes(zorder.morton(np.array([[-32768 + 1, -32768]]))[0], "big")
+    assert key == 2 and int.from_bytes(zorder.morton(np.array([[-32768, -32767]]))[0], "big") == 1
+
+
+def test_residual_levels_round_before_they_compare():
+    codes = quantize.residual_levels_np(np.array([[-0.4, -2.4, 1.6, 2.5, -2.6]]), np.ones(5), 2)
+    assert codes.tolist() == [[1, -1, 3, 3, -3]]
+
+
+def test_manifest_ids_tell_a_parent_from_none():
+    assert hashing.manifest_id(1, None, 5, []) == hashing.fnv1a((1).to_bytes(4, "little") + b"\0" + bytes(8) + (5).to_bytes(8, "little") + bytes(8))
+    assert hashing.manifest_id(1, 3, 5, []) == hashing.fnv1a((1).to_bytes(4, "little") + b"\1" + (3).to_bytes(8, "little") + (5).to_bytes(8, "little") + bytes(8))
