@@ -12,7 +12,9 @@ CACHED at most; a full cache is emptied, which changes no result.
 
 Defined cases: null and empty texts have no tokens and the digest of the empty string; the added
 token's string inside a text becomes that token, as the tokenizers library does by default; equal
-texts get equal values; extra columns aren't read; an empty table gives an empty result.
+texts get equal values; of merges of equal rank (ties) the leftmost goes first, as in the library; a very long text meets
+few others in one trie, and a word longer than KEPT_BYTES isn't kept; extra columns aren't read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,8 +52,13 @@ class ByteBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte, model = byte_alphabet(), spec["model"]
-        if model["type"] != "BPE" or spec["normalizer"] or model.get("dropout") or model.get("ignore_merges"):
+        if model["type"] != "BPE" or spec["normalizer"] or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
             raise ValueError("not a plain byte-level BPE file")
+        before, after = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or after.get("type") != "ByteLevel" or spec.get("post_processor"):
+            raise ValueError("only the byte-level pre-tokenizer with its pattern, its decoder and no post-processor are known")
+        if any(a.get(k) for a in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("only added tokens that stand for exactly their text are known")
         raw = {bytes(to_byte[c] for c in s): i for s, i in model["vocab"].items() if all(c in to_byte for c in s)}
         self.bytes_of = {i: b for b, i in raw.items()}
         self.bytes_of |= {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
@@ -293,4 +300,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [b"".join(map(raw.__getitem__, ids or [])).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(batches, encoded.select("doc_id").schema.add("text", "string"))

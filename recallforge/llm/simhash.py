@@ -10,7 +10,8 @@ Inside a group (even r) all members lie within r of one another, so linking neig
 order keeps the group connected and no pairs are enumerated.
 
 Defined cases: null and blank texts have no shingle and fingerprint zero, linked like any other;
-texts of fewer than `width` words hash their whole word sequence; repeated rows get equal values; a
+texts of fewer than `width` words hash their whole word sequence; a bit that is set in exactly half of the hashes (a tie) is 0;
+very long texts are counted CHUNK shingles at a time; repeated rows get equal values; a
 null doc_id takes part but is never a component's name (null if no member has an id); columns other
 than doc_id and text are not read; an empty table gives an empty result.
 """
