@@ -111,34 +111,37 @@ def inflated(data: bytes):
 
 def parse(data):
     """(headers with lower-case names, block) of each record of an archive, given as bytes or as pieces of them."""
-    pieces, held, done, at = iter([data] if isinstance(data, bytes) else data), bytearray(), False, 0
+    pieces, held, pos, at = iter([data] if isinstance(data, bytes) else data), bytearray(), 0, 0
 
     def more() -> bool:
-        nonlocal done
+        nonlocal pos
         piece = next(pieces, None)
-        done = piece is None
-        held.extend(piece or b"")
-        return not done
+        if piece is not None:
+            if pos > CHUNK:  # what has been read goes now and then: each time the rest is moved
+                del held[:pos]
+                pos = 0
+            held.extend(piece)
+        return piece is not None
 
     while True:
-        while not held and more():
+        while pos == len(held) and more():
             pass
-        if not held:
+        if pos == len(held):
             return
-        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+        while (end := held.find(b"\r\n\r\n", pos)) < 0 and more():
             pass
-        if not held.startswith(b"WARC/") or end < 0:
+        if not held.startswith(b"WARC/", pos) or end < 0:
             raise ValueError(f"no WARC record at byte {at}")
-        lines = held[:end].decode("utf-8", "replace").split(CRLF)[1:]
+        lines = held[pos:end].decode("utf-8", "replace").split(CRLF)[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = end + 4 + int(head["content-length"])
-        while len(held) < size + 4 and more():
+        start = end + 4 - pos
+        size = start + int(head["content-length"])
+        while len(held) - pos < size + 4 and more():
             pass
-        if held[size : size + 4] != b"\r\n\r\n":
+        if held[pos + size : pos + size + 4] != b"\r\n\r\n":
             raise ValueError(f"record that ends at byte {at + size} has another length than it says")
-        yield head, bytes(held[end + 4 : size])
-        del held[: size + 4]
-        at += size + 4
+        yield head, bytes(held[pos + start : pos + size])
+        pos, at = pos + size + 4, at + size + 4
 
 
 def _fields(head: dict, block: bytes, payloads: bool) -> tuple:
