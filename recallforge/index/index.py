@@ -4,6 +4,9 @@ codes of all vectors are a distributed table partitioned by grain.
 Searching a set of queries ranks grains per query, joins the probed grains' codes, scores them in Arrow
 batches with the grain's integer weights, keeps the best per query and grain, removes repeated ids and
 reranks against raw vectors where there are any, else against reconstructions.
+
+How many candidates of a grain hold the true nearest depends on its size, so no fixed number is enough. An `exact`
+search takes the last distance found for each query as its bound and reads the raw vectors once more for rows within it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.stats import l2
-from ..operators.knn import query_blocks
+from ..operators.knn import Best, matrix, query_blocks
 from ..operators.topk import best_per, merge_unique
 from ..session import prepare
 from ..sources.files import Files
@@ -244,9 +247,47 @@ class GrainIndex:
         # An id may be in several grains and several times in the raw rows: its nearest row counts.
         return merge_unique(found, ["query_id"], "vec_id", [F.asc("sq"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", F.sqrt("sq").alias("distance"))
 
-    def search_mode_a(self, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
+    def _within(self, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, vec_id: of each query and task the k nearest raw rows within the last distance found, or of all
+        raw rows where fewer than k are found."""
+        last = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("last"))
+        parts = []
+        for rows in query_blocks(queries.select("query_id", "embedding").join(last, "query_id", "left")):
+            cut = np.array([np.inf if r.last is None else r.last**2 * (1 + 1e-9) for r in rows])
+            sent = self.spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.embedding for r in rows], float), cut))
+
+            def near(it, sent=sent):
+                ids, q, cut = sent.value
+                best = Best(len(ids), k)
+                for whole in it:
+                    for at in range(0, whole.num_rows, 1000):
+                        b = whole.slice(at, 1000)
+                        own, v = np.asarray(b.column(0), np.int64), matrix(b.column(1), q.shape[1])
+                        # A little more, since products and sums in another order differ in the last digits.
+                        i, j = np.nonzero(l2(q, v) <= cut[:, None] + 1e-12 * ((q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]))
+                        starts = np.flatnonzero(np.diff(i, prepend=-1))
+                        for n, rows_of in zip(i[starts], np.split(j, starts[1:])):
+                            best.add(n, own[rows_of], ((v[rows_of] - q[n]) ** 2).sum(axis=1))
+                yield best.batch(ids).select(["query_id", "vec_id"])
+
+            parts.append(self.raw.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(near, "query_id long, vec_id long"))
+        return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], "query_id long, vec_id long")
+
+    def _complete(self, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """found (the result of a search) with the rows that it lacks of the true k nearest."""
+        if self.raw is None:
+            raise ValueError("an exact search needs the raw vectors")
+        path = f"{shared_dir(self.spark)}/found-{uuid.uuid4().hex}"
+        found.write.parquet(path)  # k rows a query, read for the bounds and for the result
+        found = self.spark.read.schema(found.schema).parquet(path).select("query_id", "vec_id", "distance")
+        pairs = found.select("query_id", "vec_id").unionAll(self._within(found, queries, k)).distinct()
+        return self._rerank(pairs.withColumn("recon", F.lit(None).cast("double")), queries, k)
+
+    def search_mode_a(self, queries: DataFrame, k: int, nprobe: int | None = None, exact: bool = False) -> DataFrame:
         """Best k * rerank_factor of every probed grain, merged and reranked; with rerank_factor 0 the
-        quantized distances decide."""
+        quantized distances decide. With `exact`, rows nearer than the last found are added from all raw vectors."""
+        if exact:
+            return self._complete(self.search_mode_a(queries, k, nprobe), queries, k)
         rf = self.options.rerank_factor
         keep = k * max(rf, 1)
         found = best_per(self._scan(queries, nprobe, keep), ["query_id", "grain_id"], [F.asc("approx"), F.asc("vec_id")], keep).drop("rank")

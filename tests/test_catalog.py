@@ -102,6 +102,46 @@ def test_sq8_codes_use_the_whole_scale(spark, tmp_path):
     assert [(r.vec_id, r.scale, r.codes) for r in catalog.sq8_codes(spark, str(tmp_path)).collect()] == want
 
 
+@pytest.fixture(scope="module")
+def many_vectors(spark, tmp_path_factory):
+    """Many more vectors than the searches' candidates a grain, 20 of them queries; two equal ones near each query,
+    one of an even id."""
+    rng, path = np.random.default_rng(3), str(tmp_path_factory.mktemp("vectors"))
+    ids = np.array([i for i in range(16000) if i % 20 or i < 400])
+    x = rng.normal(size=(len(ids), 64))
+    place = {int(d): i for i, d in enumerate(ids)}
+    for n in range(20):
+        x[[place[8000 + 20 * n + d] for d in (1, 2)]] = x[place[20 * n]] + rng.normal(size=64) / 4
+    rows = [(int(d), v.tolist()) for d, v in zip(ids, np.float32(x))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["mode_a_all_grains", "buffered_search"])
+def test_exact_searches_of_large_grains(spark, many_vectors, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{many_vectors}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL[name]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, many_vectors).select("query_id", "rank", "vec_id", "distance").collect()]
+    assert len(want) == 200 and sorted(got) == sorted(want)
+
+
+def test_exact_search_where_few_are_found(spark, data):
+    """Rows that no code stands for are found too; without raw vectors there is no exact search."""
+    from recallforge.index.index import GrainIndex
+    from recallforge.operators import knn
+
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = GrainIndex(spark, 64).build(rows.where("vec_id < 5"), 1)
+    index.attach_raw_vectors(rows)
+    key = lambda df: sorted((r.query_id, r.rank, r.vec_id, round(r.distance, 9)) for r in df.collect())
+    assert key(index.search_mode_a(queries, 10, exact=True)) == key(knn.nearest(rows, queries, 10))
+    index.raw = None
+    with pytest.raises(ValueError):
+        index.search_mode_a(queries, 10, exact=True)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
