@@ -30,6 +30,8 @@ from .sharding import directory
 
 #: Keys of a bucket at most, and buckets from which on they grow with the number of keys.
 BUCKET_ENTRIES, DIRECTORY = 512, 1 << 15
+#: Prefixes that a lookup of the directory is spread to, at most.
+SLOTS = 1 << 17
 
 #: 2 ** 63 and 2 ** 65 as SQL decimals: an id is stored as 2 ** 63 - id, and below points * 2 ** 65.
 _TOP, _STEP = "cast(9223372036854775808 as decimal(38,0))", "cast(36893488147419103232 as decimal(20,0))"
@@ -67,16 +69,31 @@ def build_directory(keys: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> Da
     return materialise(found.select("depth", "code", F.col("docs").alias("entries")), "directory")
 
 
+def _levels(counts: dict[int, int]) -> list[list[int]]:
+    """The depths in runs whose buckets have at most SLOTS prefixes at the run's last depth; usually one run."""
+    out: list[list[int]] = []
+    for d in sorted(counts):
+        run = [*(out[-1] if out else []), d]
+        if out and sum(counts[x] << (d - x) for x in run) <= SLOTS:
+            out[-1] = run
+        else:
+            out.append([d])
+    return out
+
+
 def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """rows with bucket, the smallest number (as the bits of a long) that the bucket of their key holds; rows
-    whose key has no bucket have null. One broadcast of a part of the directory for each depth in it."""
-    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # 65 numbers at most
-    for d in depths:
-        code = F.shiftrightunsigned("key", 64 - d) if d else F.lit(0).cast("long")
-        part = buckets.where(F.col("depth") == d).select(F.col("code").alias(f"code{d}"), F.shiftleft("code", 64 - d if d else 0).alias(f"bucket{d}"))
-        rows = rows.join(F.broadcast(part), code == F.col(f"code{d}"), "left").drop(f"code{d}")
-    found = F.coalesce(*[F.col(f"bucket{d}") for d in depths]) if depths else F.lit(None).cast("long")
-    return rows.withColumn("bucket", found).drop(*[f"bucket{d}" for d in depths])
+    whose key has no bucket have null. A bucket stands at all its prefixes of the deepest bucket's length, so one
+    lookup serves all depths; only where that would be more than SLOTS prefixes is there another one."""
+    levels = _levels({r[0]: r[1] for r in buckets.groupBy("depth").count().collect()})  # 65 rows at most
+    for i, run in enumerate(levels):
+        d = run[-1]
+        first = buckets.where(F.col("depth").isin(run)).select(F.expr(f"shiftleft(code, {d} - depth)").alias("slot"), F.expr(f"shiftleft(1L, {d} - depth) - 1").alias("more"), F.expr("shiftleft(code, 64 - depth)").alias(f"bucket{i}"))
+        slots = first.select(F.explode(F.sequence("slot", F.col("slot") + F.col("more"))).alias(f"slot{i}"), f"bucket{i}")
+        slot = F.shiftrightunsigned("key", 64 - d) if d else F.lit(0).cast("long")
+        rows = rows.join(F.broadcast(slots), slot == F.col(f"slot{i}"), "left").drop(f"slot{i}")
+    found = F.coalesce(*[F.col(f"bucket{i}") for i in range(len(levels))]) if levels else F.lit(None).cast("long")
+    return rows.withColumn("bucket", found).drop(*[f"bucket{i}" for i in range(len(levels))])
 
 
 def build_index(rows: DataFrame, buckets: DataFrame) -> DataFrame:

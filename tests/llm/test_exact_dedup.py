@@ -79,6 +79,28 @@ def test_query_goes_through_split_buckets(spark, data, monkeypatch):
     assert 0 < queries.op7_exact_dedup(spark, data).count() < len(rows)
 
 
+def test_one_lookup_serves_all_depths(spark):
+    """Buckets of several depths, three of them as deep as a directory goes: each key finds its own."""
+    shape = "depth int, code long"
+    even = [(1, 0), (2, 2), (4, 12), (4, 13), (5, 28), (5, 29)]
+    deep = [(64, 5), (64, -1), (64, 2**63 - 1), (40, 7), (20, 2**20 - 2)]
+    keys = [0, 5, 7 << 24, (7 << 24) + 99, 2**62, 2**63 - 1, -(2**63), -(2**62), -1, -2, -(1 << 44) - 3, *(-(i << 59) for i in range(1, 9))]
+    for own in (even, deep, [(0, 0)], []):
+        want = {}
+        for k in keys:
+            at = [c << (64 - d) for d, c in own if (k % 2**64) >> (64 - d) == c % 2**d]
+            want[k] = at[0] if at else None  # buckets do not overlap
+        buckets = spark.createDataFrame(own, shape)
+        rows = spark.createDataFrame([(k,) for k in keys], "key long")
+        signed = lambda b: None if b is None else (b + 2**63) % 2**64 - 2**63
+        found = exact_dedup.routed(rows, buckets)
+        assert {r.key: r.bucket for r in found.collect()} == {k: signed(b) for k, b in want.items()}
+        if own == even:
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert exact_dedup._levels({9: 400, 10: 200, 11: 30}) == [[9, 10, 11]]
+    assert exact_dedup._levels({15: 30000, 16: 4000, 17: 1000, 40: 3}) == [[15, 16, 17], [40]]
+
+
 def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     rows = [(i, f"{i % 7} x") for i in range(40)] + [(50, "7x"), (51, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
