@@ -32,6 +32,16 @@ from .components import connected_components
 CHUNK = 1 << 15
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of n hashes, as an unsigned number."""
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the text's word shingles, repeats included, as an unsigned number."""
     words = (text or "").encode().lower().split()  # ASCII letters and ASCII white space only
@@ -43,10 +53,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     counts = np.zeros(64, dtype=np.int64)
     hashes = map(xxhash.xxh64_intdigest, shingles, repeat(seed))
     for start in range(0, n, CHUNK):
-        h = np.fromiter(hashes, dtype=">u8", count=min(CHUNK, n - start))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    bits = np.packbits(2 * counts > n)
-    return int.from_bytes(bits.tobytes(), "big")
+        counts += bit_counts(np.fromiter(hashes, dtype=">u8", count=min(CHUNK, n - start)))
+    return majority(counts, n)
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
